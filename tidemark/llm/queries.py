@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, quality_rules
+from tidemark.llm import bpe, quality_model, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +22,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict:
-    return {"op7_quality_rules": op7_quality_rules, "op10_bpe": op10_bpe}
+    return {"op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
