@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, ngram_join, pii, quality_model, quality_rules
+from tidemark.llm import bpe, lm, ngram_join, pii, quality_model, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents")).drop("rid")
 
@@ -39,7 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op3_ngram_join": op3_ngram_join, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op10_bpe": op10_bpe}
+    return {"op1_pii": op1_pii, "op2_language_model": op2_language_model, "op3_ngram_join": op3_ngram_join, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
