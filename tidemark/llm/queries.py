@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lm, ngram_join, pii, quality_model, quality_rules, suffix_dedup
+from tidemark.llm import bpe, lm, ngram_join, pii, quality_model, quality_rules, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("rid")
 
@@ -47,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_language_model": op2_language_model, "op3_ngram_join": op3_ngram_join, "op4_suffix_dedup": op4_suffix_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op10_bpe": op10_bpe}
+    return {"op1_pii": op1_pii, "op2_language_model": op2_language_model, "op3_ngram_join": op3_ngram_join, "op4_suffix_dedup": op4_suffix_dedup, "op5_substring_dedup": op5_substring_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
