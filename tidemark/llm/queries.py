@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lm, ngram_join, pii, quality_model, quality_rules, substring_dedup, suffix_dedup
+from tidemark.llm import bpe, lm, ngram_join, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.shared_folder(spark)
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payload=False, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("rid")
 
@@ -51,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_language_model": op2_language_model, "op3_ngram_join": op3_ngram_join, "op4_suffix_dedup": op4_suffix_dedup, "op5_substring_dedup": op5_substring_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op10_bpe": op10_bpe}
+    return {"op1_pii": op1_pii, "op2_language_model": op2_language_model, "op3_ngram_join": op3_ngram_join, "op4_suffix_dedup": op4_suffix_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
