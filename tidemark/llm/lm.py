@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import text as tx
 
 MU = 300.0
-CONTEXT_BITS = 48
+CONTEXT_BITS = 40  # beside 24 bits for the words of a shard
 FOLDS, HELD = 7, 2
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -263,7 +263,7 @@ def _pairs(shards: int):
                     continue
                 f = slice(fcuts[s], fcuts[s + 1])
                 hh = h[a:b]
-                data.append((s, block_no, w[first[f]].tobytes(), nw[f].astype(np.uint32).tobytes(), np.ascontiguousarray(hh.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), _small(c[a:b]), _small(occ[a:b]), heads if s == keep_heads else None, row[ends[s] : ends[s + 1]].tobytes()))
+                data.append((s, block_no, w[first[f]].tobytes(), nw[f].astype(np.uint32).tobytes(), np.ascontiguousarray(hh.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), _small(c[a:b]), _small(occ[a:b]), heads if s == keep_heads else None, row[ends[s] : ends[s + 1]].tobytes()))
             block_no += 1
             cols = list(zip(*data))
             kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 7
@@ -289,8 +289,8 @@ def _counts(b: bytes, n: int) -> np.ndarray:
 def _unpack(w: bytes, nw: bytes, h: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, contexts and the place of each pair's word."""
     words, sizes = np.frombuffer(w, np.uint64), np.frombuffer(nw, np.uint32)
-    raw = np.zeros((len(h) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
+    raw = np.zeros((len(h) // 5, 8), np.uint8)
+    raw[:, :5] = np.frombuffer(h, np.uint8).reshape(-1, 5)
     return words, raw.view(np.uint64).ravel(), np.repeat(np.arange(len(words)), sizes)
 
 
