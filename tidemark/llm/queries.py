@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, lm, ngram_join, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, warc
+from tidemark.llm import bpe, decontaminate, lm, ngram_join, oracles, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
