@@ -2,8 +2,8 @@
 
 Records of repeated windows (see windows.py) are dealt out by the words at their
 anchors. In each task the suffixes that start at the anchors are split by prefixes of
-as many words as it takes to make groups of at most `budget` suffixes; short prefixes
-share a group. For each group one suffix tree is built, from its sorted suffixes and
+as many words as it takes to make groups of at most `budget` suffixes, up to the
+length of an anchor, which all repeats share; short prefixes share a group. For each group one suffix tree is built, from its sorted suffixes and
 their common prefixes. Its internal nodes as deep as the part of a window to the right
 of the anchor are the repeats; ranks of the words to the left split them further, and
 every window found at two places or more is removed at all of them.
@@ -61,7 +61,7 @@ def _keys(shape: win.Shape):
 
 def _records(shape: win.Shape):
     def run(batches):
-        for block in tx.blocks(batches, BLOCK):
+        for block in tx.blocks(win.inflated(batches, ("rid", "doc_id", "flags")), BLOCK):
             flat, offsets, grams, a, lo, hi, rows, keys = _found(tx.column(block, "text"), shape)
             hit = win.flagged(*keys, rows, tx.column(block, "flags").to_pylist())
             a, lo, hi, rows = a[hit], lo[hit], hi[hit], rows[hit]
@@ -75,13 +75,16 @@ def _records(shape: win.Shape):
     return run
 
 
-def prefix_groups(right: np.ndarray, budget: int) -> list[tuple[np.ndarray, int]]:
-    """(suffixes, words that they share) of each group, in the order of their prefixes."""
+def prefix_groups(right: np.ndarray, budget: int, most: int = GRAM) -> list[tuple[np.ndarray, int]]:
+    """(suffixes, words that they share) of each group, in the order of their prefixes.
+
+    Prefixes have at most `most` words, which all repeats share: none is cut apart.
+    """
     out: list[tuple[np.ndarray, int]] = []
     todo = [(np.arange(len(right)), 0)]
     while todo:
         idx, depth = todo.pop()
-        if len(idx) <= budget or depth == right.shape[1]:
+        if len(idx) <= budget or depth == most:
             out.append((idx, depth))
             continue
         idx = idx[np.argsort(right[idx, depth], kind="stable")]
@@ -176,11 +179,11 @@ def _repeats(shape: win.Shape, budget: int):
     return run
 
 
-def spans(docs: DataFrame, length: int = WINDOW, budget: int = BUDGET) -> DataFrame:
-    """(rid, spans: array of first word, end) of the words to remove; docs: rid, doc_id, text."""
+def spans(docs: DataFrame, texts: DataFrame, length: int = WINDOW, budget: int = BUDGET) -> DataFrame:
+    """(rid, spans: array of first word, end) of the words to remove; docs: rid, doc_id, text; texts: the same compressed."""
     shape = win.Shape(length, GRAM)
     flags = tx.checkpoint(win.flags(docs, _keys(shape), False, BLOCK))
-    records = docs.join(flags, "rid").select("rid", "text", "flags").mapInArrow(_records(shape), "rid long, at int, anchor long, before int, content string")
+    records = texts.join(flags, "rid").select("rid", "doc_id", "z", "flags").mapInArrow(_records(shape), "rid long, at int, anchor long, before int, content string")
     kind = F.xxhash64("anchor", "before", "content")
     kinds = records.groupBy("anchor", "before", "content").agg(F.count("*").alias("n"))
     tasks = 4 * tx.shuffle_width(docs.sparkSession)
@@ -193,7 +196,7 @@ def spans(docs: DataFrame, length: int = WINDOW, budget: int = BUDGET) -> DataFr
 
 def _kept(batches):
     """Words and kept words of each row."""
-    for block in tx.blocks(batches, BLOCK):
+    for block in tx.blocks(win.inflated(batches, ("doc_id", "spans")), BLOCK):
         flat, offsets = tx.words(tx.column(block, "text"))
         keep = np.ones(len(flat), bool)
         for i, found in enumerate(tx.column(block, "spans").to_pylist()):
@@ -211,19 +214,21 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(removed), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept.to_pylist()], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def _joined(docs: DataFrame, length: int, budget: int) -> DataFrame:
+    docs = with_rid(docs)
+    texts = win.compressed(docs)
+    return texts.join(spans(docs, texts, length, budget), "rid", "left").select("doc_id", "z", "spans")
+
+
 def digests(docs: DataFrame, length: int = WINDOW, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    docs = with_rid(docs)
-    joined = docs.join(spans(docs, length, budget), "rid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(docs, length, budget).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = WINDOW, budget: int = BUDGET) -> DataFrame:
     """(doc_id, kept): each row's remaining words, joined by one space."""
-    docs = with_rid(docs)
-
     def run(batches):
         for ids, _, _, kept in _kept(batches):
             yield pa.RecordBatch.from_arrays([ids, kept], ["doc_id", "kept"])
 
-    return docs.join(spans(docs, length, budget), "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept string")
+    return _joined(docs, length, budget).mapInArrow(run, "doc_id long, kept string")

@@ -151,8 +151,37 @@ def flags(docs: DataFrame, find, once_a_row: bool, max_bytes: int) -> DataFrame:
     packed = docs.select("rid", "text").mapInArrow(_pack(find, parts, once_a_row, max_bytes), "block long, part int, h binary, d binary, rids binary")
     counted = packed.groupBy("part").applyInPandas(_again, "block long, rids binary, rows binary, keys binary")
     found = counted.groupBy("block").applyInPandas(_by_row, "rid long, flags binary")
-    # rows that repeat carry equal flags or subsets of them in their blocks
-    return found.groupBy("rid").agg(F.array_join(F.collect_set(F.hex("flags")), "").alias("hex")).select("rid", F.unhex("hex").alias("flags"))
+    # a half's key decides alone, so rows that repeat have equal flags
+    return found.groupBy("rid").agg(F.first("flags").alias("flags"))
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """rid, doc_id and each text as Zstandard bytes, for joins that move the texts."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                texts = part.column(2).cast(pa.large_binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(x) for x in texts], pa.binary())], ["rid", "doc_id", "z"])
+
+    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, z binary")
+
+
+def inflated(batches, rest: tuple[str, ...], rows: int = 500):
+    """Batches with the column z turned back to text, some rows at a time."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            part = batch.slice(i, rows)
+            cols = {n: part.column(part.schema.get_field_index(n)) for n in ("z", *rest)}
+            texts = pa.array([unpack(x) for x in cols.pop("z").to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*cols.values(), texts], [*cols, "text"])
 
 
 def flagged(r: np.ndarray, l: np.ndarray, need_r: np.ndarray, need_l: np.ndarray, rows: np.ndarray, flag_lists: list[bytes]) -> np.ndarray:
@@ -177,7 +206,7 @@ def groups_by_offset(shape: Shape, right_ids, left: np.ndarray, first: np.ndarra
     the offsets that each record has windows for.
     """
     rank = np.zeros(len(first), np.int64)
-    for o in range(0, shape.offsets):
+    for o in range(0, int(last.max()) + 1 if len(last) else 0):
         if o:
             rank = np.unique(rank * (int(left[:, o - 1].max()) + 2) + left[:, o - 1] + 1, return_inverse=True)[1]
         at = np.flatnonzero((first <= o) & (o <= last))
