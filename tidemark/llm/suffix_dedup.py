@@ -19,6 +19,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from tidemark.llm.suffix_sort import suffix_array
 LENGTH = 50
 GRAM = 8
 SYMBOL = 7
-BLOCK = 2 << 20
+BLOCK = 3 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -81,25 +82,92 @@ def _keys(shape: win.Shape):
     return find
 
 
-_RECORDS = "rid long, doc_id long, at int, anchor long, before int, content binary"
+def _hit_records(block: pa.Table, shape: win.Shape):
+    """Rows, places, content from the first window's start to the last one's end, and kinds of the flagged records."""
+    data, offsets, hashes, a, lo, hi, rows, keys = _found(tx.column(block, "text"), shape)
+    hit = win.flagged(*keys, rows, tx.column(block, "flags").to_pylist())
+    a, lo, hi, rows = a[hit], lo[hit], hi[hit], rows[hit]
+    size = hi - lo + shape.length
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.arange(ends[-1]) - np.repeat(ends[:-1] - lo, size)]
+    content = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+    codes, distinct = tx.coded(content)
+    before = a - lo
+    return rows, a - offsets[rows], before, hashes[a], content, kind_of(tx.hashed(distinct)[codes], before)
 
 
-def _records(shape: win.Shape):
+def kind_of(print_: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Key of a record, from its content's hash and the anchor's place in it."""
+    return tx.mixed(print_ ^ (before + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _places(shape: win.Shape):
+    """Where the records are: rid, doc_id, place of the anchor, kind."""
+
     def run(batches):
-        for block in tx.blocks(batches, BLOCK):
-            data, offsets, hashes, a, lo, hi, rows, keys = _found(tx.column(block, "text"), shape)
-            hit = win.flagged(*keys, rows, tx.column(block, "flags").to_pylist())
-            a, lo, hi, rows = a[hit], lo[hit], hi[hit], rows[hit]
-            size = hi - lo + shape.length
-            ends = np.concatenate([[0], np.cumsum(size)])
-            flat = data[np.arange(ends[-1]) - np.repeat(ends[:-1] - lo, size)]
-            content = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+        for block in tx.blocks(win.inflated(batches, ("rid", "doc_id", "flags")), BLOCK):
+            rows, at, _, _, _, kind = _hit_records(block, shape)
             rid, doc = (np.asarray(tx.column(block, c)) for c in ("rid", "doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[rows]), pa.array(doc[rows]), pa.array((a - offsets[rows]).astype(np.int32)), pa.array(hashes[a].view(np.int64)), pa.array((a - lo).astype(np.int32)), content], ["rid", "doc_id", "at", "anchor", "before", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid[rows]), pa.array(doc[rows]), pa.array(at.astype(np.int32)), pa.array(kind)], ["rid", "doc_id", "at", "kind"])
+
+    return run
+
+
+_KINDS = "task int, before binary, least binary, further binary, size binary, content binary"
+
+
+def _kinds(shape: win.Shape, tasks: int):
+    """Distinct records of a block by task, with their least and largest doc_id; contents are compressed together."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for block in tx.blocks(win.inflated(batches, ("rid", "doc_id", "flags")), BLOCK):
+            rows, _, before, anchor, content, kind = _hit_records(block, shape)
+            doc = np.asarray(tx.column(block, "doc_id"))[rows]
+            _, first, group = np.unique(kind, return_index=True, return_inverse=True)
+            least, most = np.full(len(first), NO_ID), np.full(len(first), -(1 << 62))
+            np.minimum.at(least, group, doc)
+            known = doc < NO_ID
+            np.maximum.at(most, group[known], doc[known])
+            task = (anchor[first] % np.uint64(tasks)).astype(np.int64)
+            order = np.lexsort((anchor[first], task))
+            first, least, most, task = first[order], least[order], most[order], task[order]
+            cuts = np.searchsorted(task, np.arange(tasks + 1))
+            data = []
+            for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                s = slice(cuts[k], cuts[k + 1])
+                own = content.take(pa.array(first[s]))
+                size = np.asarray(pc.binary_length(own)).astype(np.uint8)
+                data.append((int(k), before[first[s]].astype(np.uint8).tobytes(), pack(least[s].tobytes()), pack((most[s] - least[s]).tobytes()), size.tobytes(), pack(b"".join(own.to_pylist()))))
+            cols = list(zip(*data)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), *[pa.binary()] * 5))], [x.split()[0] for x in _KINDS.split(", ")])
 
     return run
 
 
+def _unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for each kind of a task."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    content: list[bytes] = []
+    for size, z in zip(pdf["size"], pdf["content"]):
+        ends = np.cumsum(np.frombuffer(size, np.uint8), dtype=np.int64).tolist()
+        raw = unpack(z)
+        content += [raw[s:e] for s, e in zip([0, *ends[:-1]], ends)]
+    least, further = (np.frombuffer(b"".join(map(unpack, pdf[c])), np.int64) for c in ("least", "further"))
+    most = least + further
+    before = np.frombuffer(b"".join(pdf["before"]), np.uint8).astype(np.int64)
+    kind = kind_of(tx.hashed(pa.array(content, pa.binary())), before)
+    u, first, group = np.unique(kind, return_index=True, return_inverse=True)
+    low, high = np.full(len(u), NO_ID), np.full(len(u), -(1 << 62))
+    np.minimum.at(low, group, least)
+    np.maximum.at(high, group, most)
+    return pd.DataFrame({"kind": u, "before": before[first], "content": [content[i] for i in first], "least": low, "most": high})
+
+
 def _padded(parts: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(len(parts), width)
 
@@ -129,7 +197,7 @@ def ordered(rights: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _least(shape: win.Shape):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
+        pdf = _unpacked(pdf)
         before, content = pdf["before"].to_numpy(), pdf["content"].tolist()
         order, lcp = ordered([c[b:] for c, b in zip(content, before)], shape.length)
         pdf = pdf.iloc[order].reset_index(drop=True)
@@ -153,17 +221,15 @@ def _least(shape: win.Shape):
     return run
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rid, spans: array of start, end) of the bytes to remove; docs: rid, doc_id (NO_ID for none), text."""
+def spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(rid, spans: array of start, end) of the bytes to remove; docs: rid, doc_id (NO_ID for none), text; texts: the same compressed."""
     shape = win.Shape(length, GRAM)
     flags = tx.checkpoint(win.flags(docs, _keys(shape), True, BLOCK))
-    records = docs.join(flags, "rid").select("rid", "doc_id", "text", "flags").mapInArrow(_records(shape), _RECORDS)
-    kind = F.xxhash64("anchor", "before", "content")
-    kinds = records.groupBy("anchor", "before", "content").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("doc_id") < int(NO_ID), F.col("doc_id")).otherwise(-(1 << 62))).alias("most"))
-    tasks = 4 * tx.shuffle_width(docs.sparkSession)
-    kinds = kinds.select(F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task"), kind.alias("kind"), "before", "content", "least", "most")
-    found = kinds.groupBy("task").applyInPandas(_least(shape), "kind long, o0 int, o1 int, least long")
-    places = records.select("rid", "doc_id", "at", kind.alias("kind")).join(found, "kind").where((F.col("doc_id") > F.col("least")) & (F.col("doc_id") < int(NO_ID)))
+    tasks = 2 * tx.shuffle_width(docs.sparkSession)
+    hit = texts.join(flags, "rid").select("rid", "doc_id", "z", "flags")
+    found = hit.mapInArrow(_kinds(shape, tasks), _KINDS).groupBy("task").applyInPandas(_least(shape), "kind long, o0 int, o1 int, least long")
+    places = hit.mapInArrow(_places(shape), "rid long, doc_id long, at int, kind long").join(found, "kind")
+    places = places.where((F.col("doc_id") > F.col("least")) & (F.col("doc_id") < int(NO_ID)))
     each = places.select("rid", F.struct((F.col("at") - F.col("o1")).alias("s"), (F.col("at") - F.col("o0") + length).alias("e")).alias("x"))
     return each.groupBy("rid").agg(F.collect_set("x").alias("spans"))
 
@@ -173,43 +239,43 @@ def with_rid(docs: DataFrame) -> DataFrame:
     return docs.select(tx.row_key(docs).alias("rid"), F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
 
 
-def _cut(frames):
+def _kept(frames):
+    """doc_id, bytes, runs to remove and what is left of each row."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
     for pdf in frames:
-        out = []
-        for doc_id, text, found in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-            data = text.encode()
+        for doc_id, z, found in zip(pdf["doc_id"], pdf["z"], pdf["spans"]):
+            data, left, done = unpack(z), [], 0
             runs = win.union([x["s"] for x in found], [x["e"] for x in found]) if found is not None else []
-            kept, done = hashlib.sha256(), 0
             for s, e in runs:
-                kept.update(data[done:s])
+                left.append(data[done:s])
                 done = e
-            kept.update(data[done:])
-            out.append((doc_id, len(data), sum(e - s for s, e in runs), len(runs), kept.hexdigest()))
-        out = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        out["doc_id"] = out["doc_id"].astype("Int64").mask(out["doc_id"] == NO_ID)
-        yield out
+            yield None if doc_id == NO_ID else doc_id, len(data), runs, b"".join([*left, data[done:]])
+
+
+def _joined(docs: DataFrame, length: int) -> DataFrame:
+    docs = with_rid(docs)
+    texts = win.compressed(docs)
+    return texts.join(spans(docs, texts, length), "rid", "left").select("doc_id", "z", "spans")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    docs = with_rid(docs)
-    joined = docs.join(spans(docs, length), "rid", "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+    def run(frames):
+        for pdf in frames:
+            out = [(d, n, sum(e - s for s, e in runs), len(runs), hashlib.sha256(left).hexdigest()) for d, n, runs, left in _kept([pdf])]
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+
+    return _joined(docs, length).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, kept binary): what is left of each row's bytes."""
-    docs = with_rid(docs)
 
-    def kept(frames):
+    def run(frames):
         for pdf in frames:
-            out = []
-            for text, found in zip(pdf["text"], pdf["spans"]):
-                data, done, left = text.encode(), 0, []
-                for s, e in win.union([x["s"] for x in found], [x["e"] for x in found]) if found is not None else []:
-                    left.append(data[done:s])
-                    done = e
-                out.append(b"".join([*left, data[done:]]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").mask(pdf["doc_id"] == NO_ID), "kept": out})
-
-    return docs.join(spans(docs, length), "rid", "left").select("doc_id", "text", "spans").mapInPandas(kept, "doc_id long, kept binary")
+            yield pd.DataFrame([(d, left) for d, _, _, left in _kept([pdf])], columns=["doc_id", "kept"]).astype({"doc_id": "Int64"})
+
+    return _joined(docs, length).mapInPandas(run, "doc_id long, kept binary")
