@@ -234,6 +234,37 @@ def test_decontamination_against_edit_distance(spark, sf):
     assert {r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()} == {d for d in df.toPandas()["doc_id"]} - {d for d, _ in want}
 
 
+def test_decontamination_by_short_items(spark):
+    items = [(1, "What is 7 times 8?"), (2, "法国的首都是哪里？"), (3, "Ada"), (4, "?!"), (5, "x"), (6, "日本の首都はどこですか")]
+    rows = [
+        (10, "He asked: what is 7 times 8? Nobody knew."), (11, "what is 7 timess 8"), (12, "somewhat is 7 times 8"), (13, "What is seven times 8?"),
+        (20, "请回答：法国的首都是哪里？谢谢"), (21, "请回答法国的首都是哪里谢谢"), (22, "法国的首都是那里"),
+        (30, "ADA, ada; Ada"), (31, "Adam and Canada"), (50, "x-ray"), (51, "xx x"), (52, "X!"), (60, "問題日本の首都はどこでかという"), (70, "?!"), (71, ""),
+    ]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontaminate.search(df, bench).collect())
+    assert got == [(10, 1, 9, 26, 0), (11, 1, 0, 18, 1), (20, 2, 4, 12, 0), (21, 2, 3, 11, 0), (30, 3, 0, 3, 0), (30, 3, 4, 7, 0), (30, 3, 8, 11, 0), (52, 5, 0, 1, 0), (60, 6, 2, 12, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()) == [12, 13, 22, 31, 50, 51, 70, 71]
+
+
+@pytest.mark.parametrize("rate", [0.25, 0.4])
+def test_decontamination_without_a_positive_bound(spark, rate):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n)).strip().replace("  ", " ")
+    norm = lambda t: " ".join(t.split())
+    items, rows = [(i, "k" + word(28) + "l") for i in range(6)], []
+    for _, t in items:
+        for r in (0, 0.2, 0.3, 0.5):
+            x = list(t)
+            for p in rng.sample(range(len(x)), int(r * len(x))):
+                x[p] = rng.choice("mnopq")
+            rows.append((len(rows), norm(word(40) + " " + "".join(x) + " " + word(40))))
+    items = [(i, norm(t)) for i, t in items]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t in rows for i, v in items if edits_in(v, t) <= int(rate * len(v))}
+    assert want and {(r.doc_id, r.item_id) for r in decontaminate.search(df, bench, rate).collect()} == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     path = str(tmp_path / "a")
     (tmp_path / "a").mkdir()

@@ -5,12 +5,20 @@ letters and digits as one space. An item of m characters that occurs with at mos
 e = rate * m edits shares at least m + 1 - q - q * e q-grams with the text in a band
 of e + 1 neighbouring diagonals. Shared q-grams are counted in bands of twice that
 width which overlap by half, bands that meet the bound are kept, and a banded
-alignment decides. Items too short for long q-grams are searched with short ones;
-items of fewer than `least` characters are no evidence and match nothing.
+alignment decides. Items too short for long q-grams are searched with short ones.
+An item for which no bound is positive is cut into e + 1 pieces, of which one must
+occur unchanged: every band with a piece is aligned.
+
+Items of fewer than `least` characters must occur as whole words: the place begins
+and ends at an end of the text, at a space or beside a letter of a script that is
+written without spaces. Their budget is the same, so that those of fewer than
+1 / rate characters occur unchanged. One or two characters of a script with spaces
+match only a text that has nothing else. Items without letters and digits match nothing.
 
 The items are the query set: they are sent to all tasks in blocks of at most
 `block_chars` characters, every block against all rows. Null and empty texts match
-nothing. Repeated rows and repeated items match each by themselves. Of a row's
+nothing. Of places of an item that overlap or share a band the best one is given.
+Repeated rows and repeated items match each by themselves. Of a row's
 documents doc_id and text are read, of items item_id and text.
 """
 
@@ -31,10 +39,13 @@ from tidemark.llm import text as tx
 RATE = 0.1
 GRAMS = (8, 4)
 LEAST = 20
+ALONE = 3  # items of fewer characters, in a script with spaces, are no evidence inside of other text
 BLOCK_CHARS = 4_000_000
 BLOCK = 3 << 20
 FILTER_BITS = 22
 SLOT_BITS = 21
+#: Ranges of code points (from, to) of scripts without spaces between words: Thai and Lao, Burmese, Khmer, Chinese and Japanese.
+UNSPACED = np.array([0x0E00, 0x0F00, 0x1000, 0x10A0, 0x1780, 0x1800, 0x2E80, 0xA4D0, 0xF900, 0xFB00, 0xFF66, 0xFFA0, 0x1B000, 0x1B170, 0x20000, 0x40000], np.uint32)
 _HITS = "rid long, doc_id long, item_id long, start long, end long, edits int"
 
 
@@ -61,9 +72,11 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Items that one q-gram length serves, and an index of their q-grams."""
+    """Items that one q-gram length serves, and an index of their q-grams; whole: only whole words count; exact: those without edits."""
 
     q: int
+    whole: bool
+    exact: bool
     ids: np.ndarray
     texts: list[np.ndarray]
     edits: np.ndarray
@@ -76,23 +89,34 @@ class Items:
 
 
 def index(ids: list[int], texts: list[str], rate: float, grams=GRAMS, least: int = LEAST) -> list[Items]:
+    if not 0 <= rate < 1:
+        raise ValueError("rate must be at least 0 and below 1")
     codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in normalised(pa.array(texts, pa.string())).to_pylist()]
-    out, left = [], [i for i, c in enumerate(codes) if len(c) >= least]
-    for q in grams:
-        bound = {i: len(codes[i]) + 1 - q - q * int(rate * len(codes[i])) for i in left}
-        mine = [i for i in left if bound[i] > 4 or q == grams[-1] and bound[i] > 0]
-        left = [i for i in left if i not in set(mine)]
-        if not mine:
+    edits, groups = [int(rate * len(c)) for c in codes], {}
+    for i, (c, e) in enumerate(zip(codes, edits)):
+        if not len(c):
             continue
-        h = [gram_hashes(codes[i], q) for i in mine]
-        item = np.repeat(np.arange(len(mine)), [len(x) for x in h])
-        place = np.concatenate([np.arange(len(x)) for x in h])
-        flat = np.concatenate(h)
+        whole, exact = len(c) < least, len(c) < least and e == 0
+        bound = {q: len(c) + 1 - q - q * e for q in grams}
+        q = next((q for q in grams if not exact and (bound[q] > 4 or q == grams[-1] and bound[q] > 0)), None)
+        if q:
+            places, need = np.arange(len(c) + 1 - q), bound[q]
+        else:
+            piece = len(c) // (e + 1)
+            q = 1 << (min(grams[0], piece).bit_length() - 1)
+            places, need = np.arange(e + 1) * piece, 1
+        groups.setdefault((q, whole, exact), []).append((i, places, need))
+    out = []
+    for (q, whole, exact), members in groups.items():
+        mine = [i for i, _, _ in members]
+        flat = np.concatenate([gram_hashes(codes[i], q)[at] for i, at, _ in members])
+        item = np.repeat(np.arange(len(mine)), [len(at) for _, at, _ in members])
+        place = np.concatenate([at for _, at, _ in members])
         order = np.argsort(flat, kind="stable")
         u, first = np.unique(flat[order], return_index=True)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[(u >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        out.append(Items(q, np.array([ids[i] for i in mine]), [codes[i] for i in mine], np.array([int(rate * len(codes[i])) for i in mine]), np.array([bound[i] for i in mine]), u, np.append(first, len(flat)), item[order], place[order], seen))
+        out.append(Items(q, whole, exact, np.array([ids[i] for i in mine]), [codes[i] for i in mine], np.array([edits[i] for i in mine]), np.array([n for _, _, n in members]), u, np.append(first, len(flat)), item[order], place[order], seen))
     return out
 
 
@@ -136,14 +160,30 @@ def bands(items: Items, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.column_stack([pair[ok] // len(items.ids), item[ok], c[ok] * (items.edits[item[ok]] + 1) - longest])
 
 
-def align(item: np.ndarray, text: np.ndarray, first: int, width: int, most: int) -> tuple[int, int]:
-    """Least edits of the item against any part of text on diagonals first to first + width, and where the part ends; any number beyond most stands for all."""
+def parted(codes: np.ndarray) -> np.ndarray:
+    """Whether a word ends on both sides of the symbol: spaces, and letters of scripts without spaces."""
+    return (codes == 32) | (np.searchsorted(UNSPACED, codes, side="right") % 2 == 1)
+
+
+def word_ends(text: np.ndarray) -> np.ndarray:
+    """Whether a word may begin or end before each symbol of text, and after the last."""
+    out, own = np.ones(len(text) + 1, bool), parted(text)
+    out[1:-1] = own[1:] | own[:-1]
+    return out
+
+
+def align(item: np.ndarray, text: np.ndarray, first: int, width: int, most: int, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[int, int]:
+    """Least edits of the item against any part of text on diagonals first to first + width, and where the part ends; any number beyond most stands for all. starts and ends tell at which places of text a part may begin and end."""
     m, n = len(item), len(text)
     k = np.arange(width)
     high = np.int32(1 << 20)
     row = np.zeros(width, np.int32)
     j = first + k  # place in text before the first symbol of the item
     row[(j < 0) | (j > n)] = high
+    if starts is not None:
+        row[~starts[np.clip(j, 0, n)]] = high
+        row = (np.minimum.accumulate(row - k) + k).astype(np.int32)
+        row[(j < 0) | (j > n)] = high
     for i in range(m):
         j = i + first + k
         ok = (j >= 0) & (j < n)
@@ -158,6 +198,8 @@ def align(item: np.ndarray, text: np.ndarray, first: int, width: int, most: int)
         row = new.astype(np.int32)
         if i % 16 == 15 and row.min() > most:
             return most + 1, 0
+    if ends is not None:
+        row[~ends[np.clip(m + first + k, 0, n)]] = high
     best = int(row.argmin())
     return int(row[best]), min(n, max(0, m + first + best))
 
@@ -168,9 +210,10 @@ def verified(items: Items, codes: np.ndarray, offsets: np.ndarray, found: np.nda
     for row, item, diagonal in found.tolist():
         text, e, pattern = codes[offsets[row] : offsets[row + 1]], int(items.edits[item]), items.texts[item]
         known = out.setdefault((row, item), [])
-        edits, end = align(pattern, text, diagonal - e, 4 * e + 3, e)
+        free = word_ends(text) if items.whole else None
+        edits, end = align(pattern, text, diagonal - e, 4 * e + 3, e, free, free)
         if edits <= e:
-            back, length = align(pattern[::-1], text[:end][::-1], -e, 2 * e + 1, e)
+            back, length = align(pattern[::-1], text[:end][::-1], -e, 2 * e + 1, e, *((np.arange(end + 1) == 0, free[: end + 1][::-1]) if items.whole else ()))
             start, edits = end - length, min(edits, back)
             if known and start < known[-1][1]:  # of places that overlap, the better one stays
                 if edits < known[-1][2]:
@@ -180,13 +223,38 @@ def verified(items: Items, codes: np.ndarray, offsets: np.ndarray, found: np.nda
     return [(r, i, s, t, e) for (r, i), places in sorted(out.items()) for s, t, e in places]
 
 
+def unchanged(items: Items, codes: np.ndarray, offsets: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The same for items without edits that must be whole words; a band's first diagonal is where the item would begin."""
+    row, item, start = found.T
+    m = np.array([len(t) for t in items.texts])
+    inside = (start >= 0) & (offsets[row] + start + m[item] <= offsets[row + 1])
+    row, item, start = row[inside], item[inside], start[inside]
+    at, end, own = offsets[row] + start, offsets[row] + start + m[item], np.append(parted(codes), True)
+    ok = ((start == 0) | own[at - 1] | own[at]) & ((end == offsets[row + 1]) | own[end - 1] | own[end])
+    alone = np.array([len(t) < ALONE and not parted(t).any() for t in items.texts])
+    ok &= ~alone[item] | (start == 0) & (end == offsets[row + 1])
+    row, item, start, at = row[ok], item[ok], start[ok], at[ok]
+    texts = np.zeros((len(m), m.max()), np.uint32)
+    for i, t in enumerate(items.texts):
+        texts[i, : len(t)] = t
+    for k in range(m.max()):
+        ok = (k >= m[item]) | (codes[np.minimum(at + k, len(codes) - 1)] == texts[item, k])
+        row, item, start, at = row[ok], item[ok], start[ok], at[ok]
+    out: list[tuple[int, int, int, int, int]] = []
+    for r, i, s in zip(row.tolist(), item.tolist(), start.tolist()):
+        if not (out and out[-1][:2] == (r, i) and s < out[-1][3]):
+            out.append((r, i, s, s + int(m[i]), 0))
+    return out
+
+
 def _search(shared):
     def run(batches):
         for block in tx.blocks(batches, BLOCK):
             codes, offsets = code_points(normalised(tx.column(block, "text")))
             hits = []
             for items in shared.value:
-                for row, item, s, t, e in verified(items, codes, offsets, bands(items, codes, offsets)):
+                decide = unchanged if items.exact else verified
+                for row, item, s, t, e in decide(items, codes, offsets, bands(items, codes, offsets)):
                     hits.append((row, int(items.ids[item]), s, t, e))
             rows = np.array([h[0] for h in hits], np.int64)
             rid, doc = np.asarray(tx.column(block, "rid")), tx.column(block, "doc_id")
