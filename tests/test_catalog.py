@@ -46,6 +46,17 @@ def test_models_give_rows_without_nan(spark, sf, name):
     assert not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r)
 
 
+def test_start_choice_scores_all_candidates(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog.grouped, "score_cutoffs", lambda df, grid, **_: seen.append(grid) or grid.selectExpr("*", "0.5d as acc"))
+    catalog.cutoff_scores(spark, sf)
+    config, _ = catalog._flagship(spark, sf)
+    assert len(seen) == 2 and config.monte_carlo_runs == 1000
+    for grid in seen:
+        counts = [r["count"] for r in grid.groupBy("series_id").count().collect()]
+        assert counts and set(counts) == {48}
+
+
 def test_entry_without_llm(tmp_path):
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     import shutil

@@ -35,6 +35,11 @@ def accuracy(truth: np.ndarray, guess: np.ndarray) -> float:
     return float(((np.diff(truth) > 0) == (np.diff(guess) > 0)).mean()) if len(truth) > 1 else 0.5
 
 
+def _dealt(rows: DataFrame, keys: list[str]):
+    """Groups in as many tasks as the session shuffles to; adaptive execution would put small ones, however slow, into one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 def _evaluated(keys: list[str], names: list[str], rounds: int, weekly: bool, least: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
@@ -55,7 +60,7 @@ def score_cutoffs(df: DataFrame, cutoffs: DataFrame, features=DEFAULT, test_rows
     rows = frames.after_each(frames.split(built, test_rows), cutoffs)
     keys = ["series_id", "pos", "cutoff"]
     run = _evaluated(keys, [f.name for f in features], rounds, False, max(least - 1, test_rows + 30))
-    return rows.groupBy(*keys).applyInPandas(run, "series_id string, pos long, cutoff date, acc double, mae double, mse double, days long")
+    return _dealt(rows, keys).applyInPandas(run, "series_id string, pos long, cutoff date, acc double, mae double, mse double, days long")
 
 
 def walk_forward(df: DataFrame, features=DEFAULT, window: int = 90, n_folds: int = 4, least: int = 730, rounds: int = FOLD_ROUNDS) -> DataFrame:

@@ -500,7 +500,7 @@ def garch_fit(spark, d):
 @query()
 def cutoff_scores(spark, d):
     p = each(spark, d)
-    return stats.posterior(grouped.score_cutoffs(p, frames.cutoff_grid(p, most=8, least_days=365)), 2.0)
+    return stats.posterior(grouped.score_cutoffs(p, frames.cutoff_grid(p, least_days=365)), 2.0)
 
 
 @query()
@@ -535,8 +535,8 @@ def recursive_forecast_flat(spark, d):
 
 
 def _flagship(spark, d):
-    config = forecast.RunConfig(horizon_days=60, test_last_days=60, monte_carlo_runs=300)
-    return config, forecast.run(whole(spark, d), config, most=6, rounds=100)
+    config = forecast.RunConfig(horizon_days=60, test_last_days=60)
+    return config, forecast.run(whole(spark, d), config)
 
 
 @query()
