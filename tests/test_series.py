@@ -97,6 +97,23 @@ def test_boosted_trees_fit_a_step():
     assert np.square(p - y).mean() < 0.01 * 25
 
 
+def test_search_draws_depth_rate_and_shares(spark):
+    trials = grouped.tree_trials(200)
+    for (lo, hi), values in zip(((3, 8), (0.01, 0.2), (0.6, 1), (0.6, 1)), list(zip(*trials))[1:]):
+        assert lo <= min(values) < lo + 0.1 * (hi - lo) + 1e-9 and hi - 0.1 * (hi - lo) - 1e-9 < max(values) <= hi
+    closes = 50 + np.cumsum(np.random.default_rng(4).normal(size=200))
+    got = grouped.search_trees(frame(spark, closes.tolist()), rounds=5, test_rows=30).orderBy("trial").collect()
+    assert [(r.trial, r.depth, r.rate, r.row_share, r.column_share) for r in got] == grouped.tree_trials(20)
+    assert len({r.mse for r in got}) == 20
+
+
+def test_trees_follow_their_depth():
+    x = np.random.default_rng(0).uniform(size=(500, 3))
+    y = ((x > 0.5).sum(axis=1) % 2).astype(float)
+    error = [np.square(models.BoostedTrees(60, depth=d, rate=0.2, row_share=1, column_share=1).fit(x, y).predict(x) - y).mean() for d in (1, 3, 8)]
+    assert error[0] > 2 * error[1] > 2 * error[2]
+
+
 def test_seasonal_trend_finds_a_week():
     day = np.arange(400.0)
     y = 0.01 * day + np.sin(2 * np.pi * day / 7)

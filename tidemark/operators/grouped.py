@@ -22,13 +22,13 @@ def _days(dates) -> np.ndarray:
     return pd.to_datetime(pd.Series(dates)).to_numpy().astype("datetime64[D]").astype(np.int64).astype(float)
 
 
-def fit_predict(pdf: pd.DataFrame, names: list[str], test: np.ndarray, rounds: int, weekly: bool = True) -> tuple[np.ndarray, np.ndarray, SeasonalTrend, BoostedTrees]:
+def fit_predict(pdf: pd.DataFrame, names: list[str], test: np.ndarray, rounds: int, weekly: bool = True, **trees) -> tuple[np.ndarray, np.ndarray, SeasonalTrend, BoostedTrees]:
     """Baseline and residual corrections for all rows, learned from those that aren't test rows."""
     day, y, x = _days(pdf["date"]), pdf["log_close"].to_numpy(float), pdf[names].to_numpy(float)
     trend = SeasonalTrend(weekly).fit(day[~test], y[~test])
     base = trend.predict(day)
-    trees = BoostedTrees(rounds).fit(x[~test], (y - base)[~test])
-    return base, trees.predict(x), trend, trees
+    model = BoostedTrees(rounds, **trees).fit(x[~test], (y - base)[~test])
+    return base, model.predict(x), trend, model
 
 
 def accuracy(truth: np.ndarray, guess: np.ndarray) -> float:
@@ -80,26 +80,36 @@ def learning_curve(df: DataFrame, features=DEFAULT, fractions=(0.2, 0.4, 0.6, 0.
     return rows.groupBy("series_id", "fraction").applyInPandas(run, "series_id string, fraction double, acc double, mae double, mse double, days long")
 
 
-def search_rounds(df: DataFrame, trials: int = 8, features=DEFAULT, k: int = 4, test_rows: int = 90) -> DataFrame:
-    """series_id, trial, rounds, mse: seeded random search scored on expanding folds of the training rows."""
-    rng = np.random.default_rng(42)
-    options = [(i, int(r)) for i, r in enumerate(rng.integers(50, 300, trials))]
+#: Names of a trial's settings in the rows and in BoostedTrees.
+SETTINGS = ("depth", "rate", "row_share", "column_share")
+
+
+def tree_trials(trials: int, seed: int = 42) -> list[tuple[int, int, float, float, float]]:
+    """(trial, depth, rate, row_share, column_share) drawn from the ranges of the search: 3 to 8, 0.01 to 0.2 by logarithm, 0.6 to 1."""
+    rng = np.random.default_rng(seed)
+    return [(i, int(rng.integers(3, 9)), float(np.exp(rng.uniform(np.log(0.01), np.log(0.2)))), float(rng.uniform(0.6, 1)), float(rng.uniform(0.6, 1))) for i in range(trials)]
+
+
+def search_trees(df: DataFrame, trials: int = 20, features=DEFAULT, k: int = 4, test_rows: int = 90, rounds: int = ROUNDS) -> DataFrame:
+    """series_id, trial, depth, rate, row_share, column_share, mse: seeded random search scored on expanding folds of the training rows."""
     names = [f.name for f in features]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").reset_index(drop=True)
-        rounds, errors = int(pdf["rounds"].iloc[0]), []
+        errors, own = [], {c: pdf[c].iloc[0] for c in SETTINGS}
         for train, end in frames.expanding_cv(len(pdf), k):
             part = pdf.iloc[:end]
             test = np.arange(end) >= train
             if train > 30:
-                base, more, _, _ = fit_predict(part, names, test, rounds)
+                base, more, _, _ = fit_predict(part, names, test, rounds, **own)
                 errors.append(np.square(part["log_close"].to_numpy(float) - base - more)[test].mean())
-        return pdf[["series_id", "trial", "rounds"]].iloc[:1].assign(mse=float(np.mean(errors)) if errors else None)
+        return pdf[["series_id", "trial", *SETTINGS]].iloc[:1].assign(mse=float(np.mean(errors)) if errors else None)
 
     rows = frames.split(w.build(df, features), test_rows).where("not is_test")
-    rows = rows.withColumn("t", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("trial"), F.lit(r).cast("long").alias("rounds")) for i, r in options])))
-    return rows.select("series_id", "date", "log_close", *names, "t.*").groupBy("series_id", "trial").applyInPandas(run, "series_id string, trial long, rounds long, mse double")
+    options = [F.struct(*[F.lit(v).cast(t).alias(c) for c, t, v in zip(("trial", *SETTINGS), ("long", "long", "double", "double", "double"), o)]) for o in tree_trials(trials)]
+    rows = rows.withColumn("t", F.explode(F.array(*options)))
+    schema = "series_id string, trial long, depth long, rate double, row_share double, column_share double, mse double"
+    return _dealt(rows.select("series_id", "date", "log_close", *names, "t.*"), ["series_id", "trial"]).applyInPandas(run, schema)
 
 
 class Recursion:

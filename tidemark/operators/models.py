@@ -48,6 +48,10 @@ class BoostedTrees:
     """Squared-error trees on binned columns; rows and columns are sampled once a tree, leaves shrunk."""
 
     rounds: int = ROUNDS
+    depth: int = DEPTH
+    rate: float = RATE
+    row_share: float = ROW_SHARE
+    column_share: float = COLUMN_SHARE
     bins: int = 32
     shrink: float = 1.0
     seed: int = 42
@@ -61,47 +65,45 @@ class BoostedTrees:
         self.base, self.trees = float(y.mean()), []
         b, guess = self._bin(x), np.full(len(y), y.mean())
         for _ in range(self.rounds if x.shape[1] else 0):
-            rows = np.flatnonzero(rng.random(len(y)) < ROW_SHARE)
-            cols = np.sort(rng.choice(x.shape[1], max(1, int(COLUMN_SHARE * x.shape[1])), replace=False))
+            rows = np.flatnonzero(rng.random(len(y)) < self.row_share)
+            cols = np.sort(rng.choice(x.shape[1], max(1, int(self.column_share * x.shape[1])), replace=False))
             tree = self._grow(b, y - guess, rows, cols)
             self.trees.append(tree)
-            guess += RATE * self._leaves(tree, b)
+            guess += self.rate * self._leaves(tree, b)
         return self
 
     def _grow(self, b, g, rows, cols):
-        """Arrays of split column, split bin and value of a full tree of DEPTH levels."""
-        column, cut, value = np.full(2**DEPTH - 1, -1), np.zeros(2**DEPTH - 1, int), np.zeros(2 ** (DEPTH + 1) - 1)
-        inside = {0: rows}
-        for node in range(2 ** (DEPTH + 1) - 1):
-            r = inside.pop(node, None)
-            if r is None:
-                value[node] = value[(node - 1) // 2]
-                continue
-            total, n = g[r].sum(), len(r)
-            value[node] = total / (n + self.shrink)
-            if node >= 2**DEPTH - 1 or n < 2:
-                continue
-            best = (1e-12, -1, 0)
-            for j in cols:
-                k = len(self.edges[j]) + 1
-                s, c = np.cumsum(np.bincount(b[r, j], g[r], minlength=k))[:-1], np.cumsum(np.bincount(b[r, j], minlength=k))[:-1]
-                ok = (c > 0) & (c < n)
-                if ok.any():
-                    gain = np.where(ok, s**2 / (c + self.shrink) + (total - s) ** 2 / (n - c + self.shrink) - total**2 / (n + self.shrink), -1)
-                    i = int(gain.argmax())
-                    if gain[i] > best[0]:
-                        best = (float(gain[i]), j, i)
-            if best[1] >= 0:
-                column[node], cut[node] = best[1], best[2]
-                left = b[r, best[1]] <= best[2]
-                inside[2 * node + 1], inside[2 * node + 2] = r[left], r[~left]
+        """Arrays of split column, split bin and value of a full tree of `depth` levels, grown level by level."""
+        inner, shrink = 2**self.depth - 1, self.shrink
+        column, cut, value = np.full(inner, -1), np.zeros(inner, int), np.zeros(2 * inner + 1)
+        width = max(2, *(len(self.edges[j]) + 1 for j in cols))
+        x, y, at = b[np.ix_(rows, cols)], g[rows], np.zeros(len(rows), int)
+        for level in range(self.depth + 1):
+            nodes = np.arange(2**level - 1, 2 ** (level + 1) - 1)
+            n, total = np.bincount(at, minlength=len(nodes)), np.bincount(at, y, minlength=len(nodes))
+            value[nodes] = np.where(n > 0, total / (n + shrink), value[(nodes - 1) // 2])
+            if level == self.depth:
+                break
+            shape = (len(nodes), len(cols), width)
+            key = ((at[:, None] * len(cols) + np.arange(len(cols))) * width + x).ravel()
+            s = np.bincount(key, np.repeat(y, len(cols)), minlength=np.prod(shape)).reshape(shape).cumsum(2)[:, :, :-1]
+            c = np.bincount(key, minlength=np.prod(shape)).reshape(shape).cumsum(2)[:, :, :-1]
+            m, t = n[:, None, None], total[:, None, None]
+            gain = np.where((c > 0) & (c < m), s**2 / (c + shrink) + (t - s) ** 2 / (m - c + shrink) - t**2 / (m + shrink), -1).reshape(len(nodes), -1)
+            best = gain.argmax(axis=1)
+            good = gain[np.arange(len(nodes)), best] > 1e-12
+            j, k = best // (width - 1), best % (width - 1)
+            column[nodes[good]], cut[nodes[good]] = cols[j[good]], k[good]
+            on = good[at]
+            x, y, at = x[on], y[on], at[on]
+            at = 2 * at + (x[np.arange(len(at)), j[at]] > k[at])
         return column, cut, value
 
     @staticmethod
     def _leaves(tree, b):
         column, cut, value = tree
         node = np.zeros(len(b), int)
-        for _ in range(DEPTH):
+        for _ in range((len(value) + 1).bit_length() - 2):
             at = np.minimum(node, len(column) - 1)
             j = np.where(node < len(column), column[at], -1)
             right = b[np.arange(len(b)), np.maximum(j, 0)] > cut[at]
@@ -110,7 +112,7 @@ class BoostedTrees:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         b = self._bin(np.asarray(x, float))
-        return self.base + RATE * sum((self._leaves(t, b) for t in self.trees), np.zeros(len(b)))
+        return self.base + self.rate * sum((self._leaves(t, b) for t in self.trees), np.zeros(len(b)))
 
 
 @dataclass

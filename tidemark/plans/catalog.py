@@ -516,7 +516,7 @@ def learning_curve(spark, d):
 
 @query()
 def hyperparam_search(spark, d):
-    return grouped.search_rounds(each(spark, d), trials=4)
+    return grouped.search_trees(each(spark, d))
 
 
 @query()
