@@ -84,6 +84,16 @@ def test_one_row_of_each_group_stays(spark):
     assert ngram_join.join(table(spark, some).limit(0)).count() == 0
 
 
+def test_one_row_of_near_copies_under_one_id_or_none(spark):
+    words = [f"w{i}" for i in range(80)]
+    near = lambda tag, ws: [" ".join(ws[:40] + [f"{tag}{k}"] + ws[41:]) for k in range(3)]
+    some = [(7, t) for t in near("a", words)] + [(None, t) for t in near("b", words[::-1])] + [(7, "far from all of the others here")]
+    some += [(5, t) for t in near("c", [f"v{i}" for i in range(80)])[:1]] + [(None, t) for t in near("c", [f"v{i}" for i in range(80)])[1:]] + [(None, ""), (None, None), (8, "")]
+    kept = [(r.doc_id, r.text or "") for r in ngram_join.keep_one(table(spark, some)).collect()]
+    assert len(set(kept)) == len(kept) == 6 and set(kept) <= {(d, t or "") for d, t in some}
+    assert sorted(str(d) for d, _ in kept) == ["5", "7", "7", "8", "None", "None"]
+
+
 def test_overlaps_by_slices():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype(np.uint64)) for _ in range(20)]

@@ -321,8 +321,11 @@ def join(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """One row of docs for each group: that of the smallest doc_id (and of rows that repeat, one)."""
+    """One row of docs for each group: that of the smallest doc_id (nulls last), then of the smallest row key."""
     columns = docs.columns
-    ids = join(docs, n_words).where("component_id is null or component_id = doc_id").select(F.col("rid").alias("_rid")).distinct()
+    rows, parts = classes(docs, n_words)
+    first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("f")).join(parts, "node", "left")
+    first = first.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("f").alias("f")).select(F.col("f.rid").alias("_rid"))
+    ids = first.unionByName(rows.where("n = 0").select(F.col("rid").alias("_rid"))).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.withColumn("_key", key).join(ids, F.col("_key") == F.col("_rid"), "left_semi").dropDuplicates(["_key"]).select(*columns)
