@@ -3,10 +3,16 @@
 Base patterns give the seeds. Every mention of an identifier, seed or candidate,
 has lexical patterns: the words before it, after it, and around it. Mentions and
 patterns form a bipartite graph, scored in rounds on Spark: a pattern's confidence
-is the score of its distinct instances over their number (plus `caution`), an
-instance's score the noisy-or of its patterns. Patterns need `least_seeds` distinct
-seeds. Candidates that reach `accept` for a kind whose form they fit become spans
-beside the base ones, which stay as they are.
+is the score of its accepted instances and seeds over the number of all its distinct
+instances (plus `caution`), an instance's score the noisy-or of its patterns; what
+isn't accepted lends no pattern any weight, or doubtful ones would raise each other. A pattern is induced for a kind by
+`least_seeds` distinct instances that are seeds or were accepted in an earlier round,
+so what is found brings up further patterns. Candidates that reach `accept` for a kind
+whose form they fit become spans beside the base ones, which stay as they are.
+
+A pattern's words are those in the `CONTEXT` characters beside the mention. Every scan
+is linear in the text, whatever it holds. Values of over 200 characters are told apart
+by their SHA-256.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows
 that repeat get the same spans, and copies of one identifier count once in a
@@ -15,6 +21,7 @@ pattern. An empty table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
@@ -36,7 +43,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_MAYBE_MAIL = re.compile(r"[^\s@,;<>()\[\]]+(?:@|\s?[(\[](?:at|AT)[)\]]\s?)[^\s@,;<>()\[\]]+")
+_MAYBE_MAIL = re.compile(r"(?<![^\s@,;<>()\[\]])[^\s@,;<>()\[\]]++(?:@|\s?[(\[](?:at|AT)[)\]]\s?)[^\s@,;<>()\[\]]++")
 _MAYBE_NUMBER = re.compile(r"[(+]?[0-9](?:[ ./()-]{0,2}[0-9]){6,}")
 
 _MENTION = "struct<kind: string, start: int, end: int, seed: boolean, value: string, patterns: array<string>>"
@@ -98,9 +105,9 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
                 found.append(("ip", *m.span()))
     free, i = [], 0
     for kind, start, end in sorted(found, key=lambda x: (x[1], x[2], x[0])):
-        while i < len(base) and base[i][2] <= start and base[i][1] < start:
+        while i < len(base) and base[i][2] <= start:
             i += 1
-        if not any(s < end and start < e for _, s, e in base[max(0, i - 4) : i + 8]):
+        if i == len(base) or base[i][1] >= end:
             free.append((kind, start, end))
     return free
 
@@ -113,6 +120,10 @@ def context_patterns(text: str, start: int, end: int) -> list[str]:
     return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0]}", f"_ {right[0]} {right[1]}"]
 
 
+def _value(text: str) -> str:
+    return text if len(text) <= 200 else "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+
+
 def _scan(frames):
     for pdf in frames:
         rows = []
@@ -121,7 +132,7 @@ def _scan(frames):
             mine = []
             for is_seed, spans in ((True, base), (False, candidates(text, base))):
                 for kind, s, e in spans:
-                    mine.append({"kind": kind, "start": s, "end": e, "seed": is_seed, "value": text[s:e][:200], "patterns": context_patterns(text, s, e)})
+                    mine.append({"kind": kind, "start": s, "end": e, "seed": is_seed, "value": _value(text[s:e]), "patterns": context_patterns(text, s, e)})
             rows.append(mine)
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "rid": pdf["rid"], "mentions": rows})
 
@@ -136,14 +147,14 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_S
     """(kind, value) of the candidates that the graph accepts, with their score."""
     one = found.select(F.explode("mentions").alias("m")).select("m.kind", "m.value", "m.seed", "m.patterns")
     edges = one.select("kind", "value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"))
-    useful = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= least_seeds).select("pattern")
-    edges = tx.checkpoint(edges.join(useful, "pattern", "left_semi"))
-    scores = edges.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
+    # a pattern with fewer instances than it takes to induce it never counts
+    sizes = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= least_seeds)
+    edges = tx.checkpoint(edges.join(sizes, "pattern"))
+    scores = edges.groupBy("kind", "value").agg(F.max("seed").alias("seed"), F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
-        n = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-        strength = edges.join(scores.drop("seed"), ["kind", "value"]).groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
-        confidence = strength.join(n, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + caution)).alias("c"))
-        new = edges.join(confidence, ["pattern", "kind"]).groupBy("kind", "value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.least("c", F.lit(0.999)))))).alias("score"))
+        known = edges.join(scores.select("kind", "value", "score"), ["kind", "value"])
+        induced = known.groupBy("pattern", "kind").agg(F.count_if(F.col("score") >= accept).alias("trusted"), (F.sum(F.when(F.col("score") >= accept, F.col("score"))) / (F.max("n") + caution)).alias("c")).where(F.col("trusted") >= least_seeds).select("pattern", "kind", "c")
+        new = edges.join(induced, ["pattern", "kind"], "left").groupBy("kind", "value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.least(F.coalesce("c", F.lit(0.0)), F.lit(0.999)))))).alias("score"))
         scores = tx.checkpoint(new.select("kind", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score")))
     return scores.where(~F.col("seed") & (F.col("score") >= accept)).select("kind", "value", "score")
 
@@ -185,16 +196,15 @@ def mask(text: str, spans) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the found spans masked in text; n_chars, if there, follows."""
-    columns = docs.columns
-    spans = find(docs).where(F.size("spans") > 0).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")).dropDuplicates(["_rid"])
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("_key", key).join(spans, F.col("_key") == F.col("_rid"), "left")
+    key, spans = tx.private(docs, "row_key"), tx.private(docs, "found_spans")
+    found = find(docs).where(F.size("spans") > 0).select(F.col("rid").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+    joined = docs.withColumn(key, tx.raw_key()).join(found, key, "left")
 
     @F.pandas_udf("string")
     def masked(text: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if f is None or t is None else mask(t, f) for t, f in zip(text, found)])
 
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked("text", "_spans")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns)
+    out = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(masked("text", spans)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.drop(key, spans)

@@ -7,6 +7,8 @@ of characters other than space and \\x09-\\x0D.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +27,19 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def raw_key() -> Column:
+    """row_key of rows that are not yet brought to doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def private(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """doc_id and text (null: empty) with any further columns, and nothing else."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
@@ -34,12 +49,22 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of its own only in a session without executors elsewhere, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of spark.checkpoint.dir, so that lost executors lose nothing."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or "/tmp/tidemark-checkpoint")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -30,10 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
+from tidemark.llm import text as tx
+
 SCHEMA = "page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, payload string"
 FILE_BYTES = 128 << 20
 DATE = "1970-01-01T00:00:00Z"
-_HEAD = 64 << 10
+CHUNK = 16 << 10  # compressed bytes that are read at a time while headers are looked for
 
 
 def _open(path: str):
@@ -112,13 +114,10 @@ def manifest(path: str) -> list[str]:
         return json.loads(f.read())
 
 
-def parse_headers(raw: bytes) -> tuple[dict[str, str], int]:
-    """WARC headers by lower-case name, and where the block starts."""
-    end = raw.find(b"\r\n\r\n")
-    if end < 0:
-        raise ValueError("no end of the WARC headers")
-    lines = raw[:end].decode("utf-8", "replace").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, end + 4
+def parse_headers(raw: bytes) -> dict[str, str]:
+    """WARC headers by lower-case name."""
+    lines = raw.decode("utf-8", "replace").split("\r\n")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
 @dataclass
@@ -171,16 +170,26 @@ class WarcReader(DataSourceReader):
                     at += length
 
     def _record(self, f, length: int, whole: int):
-        data = f.read(min(length - 32, 16 << 10))
-        inflate = zlib.decompressobj(-15)
-        raw = inflate.decompress(data, 4 << 10)
-        while b"\r\n\r\n" not in raw and len(raw) < _HEAD and inflate.unconsumed_tail:
-            raw += inflate.decompress(inflate.unconsumed_tail, 4 << 10)
-        headers, block = parse_headers(raw)
-        while raw.find(b"\r\n\r\n", block) < 0 and inflate.unconsumed_tail:
-            raw += inflate.decompress(inflate.unconsumed_tail, 4 << 10)
-        end = raw.find(b"\r\n\r\n", block) + 4
-        http = dict(x.lower().split(b": ", 1) for x in raw[block : end - 4].split(b"\r\n")[1:])
+        left, inflate, raw = length - 32, zlib.decompressobj(-15), bytearray()
+
+        def end_of_headers(start: int) -> int:
+            """Where the empty line after start ends; inflates as much as it takes."""
+            nonlocal left
+            while (at := raw.find(b"\r\n\r\n", start)) < 0:
+                start = max(start, len(raw) - 3)
+                data = inflate.unconsumed_tail
+                if not data:
+                    if not left:
+                        raise ValueError("no end of the headers")
+                    data = f.read(min(left, CHUNK))
+                    left -= len(data)
+                raw.extend(inflate.decompress(data, CHUNK // 4))
+            return at + 4
+
+        block = end_of_headers(0)
+        headers = parse_headers(bytes(raw[:block]))
+        end = end_of_headers(block)
+        http = dict(x.lower().split(b": ", 1) for x in bytes(raw[block : end - 4]).split(b"\r\n")[1:])
         number = lambda k: int(m[1]) if (m := re.match(r"<urn:page:(-?\d+)>", headers.get(k, ""))) else None
         row = {
             "page_id": number("warc-record-id"), "record_type": headers["warc-type"], "url": _unescaped(headers.get("warc-target-uri")),
@@ -190,8 +199,8 @@ class WarcReader(DataSourceReader):
             return
         payload = None
         if (self.payload or self.verify) and row["record_type"] == "response":
-            rest = inflate.unconsumed_tail + (f.read(length - 32 - len(data)) if length - 32 > len(data) else b"")
-            body = (raw + inflate.decompress(rest) + inflate.flush())[end : end + row["payload_bytes"]]
+            rest = inflate.unconsumed_tail + (f.read(left) if left else b"")
+            body = (bytes(raw[end:]) + inflate.decompress(rest) + inflate.flush())[: row["payload_bytes"]]
             if self.verify and (len(body) != row["payload_bytes"] or base64.b32encode(hashlib.sha1(body).digest()).decode() != row["payload_digest"]):
                 raise ValueError(f"payload of page {row['page_id']} doesn't match its digest")
             payload = body.decode() if self.payload else None
@@ -231,7 +240,6 @@ class Warc(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Warc)
 
 
@@ -246,18 +254,21 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, verify: bool = False, where: Column | str | None = None) -> DataFrame:
-    """The records of an archive; `where` is pushed down to the reader as far as it tests single header columns."""
+    """The records of an archive; `where` is pushed down to the reader as far as it tests single header columns.
+
+    Spark pushes predicates down when it plans a query, so with `where` the session keeps
+    spark.sql.python.filterPushdown.enabled on; sources without pushFilters aren't affected.
+    """
     register(spark)
+    if where is not None:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     found = spark.read.format("warc").option("payload", str(payload)).option("verify", str(verify)).option("pushdown", str(where is not None)).load(path)
     return found if where is None else found.where(where)
 
 
-def shared_folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder that all executors see."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{base}/warc-{uuid.uuid4().hex}"
+    path = f"{tx.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     fs, root = _open(path)
     fs.create_dir(root, recursive=True)
     return path
