@@ -5,9 +5,12 @@ is the context of a text's first word. With Dirichlet smoothing,
 P(w | h) = (c(hw) + mu * (c(w) + 1) / (N + V + 1)) / (c(h) + mu), a distribution over
 the V known words and one unknown. The numerator needs only counts of w, and as each
 token of a text is once predicted and once context, the denominators of a text add up
-over the same words. So everything about a word meets in the one shard of its hash:
+over the same words. So what is known about a word meets in the one shard of its hash:
 no table of all words is sent anywhere, and the tries grow with the corpus, shard by
-shard.
+shard. A word that would fill much of a shard goes as several, one for each class of
+contexts, to as many shards; its whole count, which none of them has, is sent along. As
+each of the `shards` counts gives at most 16 such words, their table has at most 24
+entries for a shard.
 
 A shard's trie has two levels: words, and the contexts seen before each (the order
 of suffixes). Both are Elias-Fano sequences of hashes; pointers from words to their
@@ -37,9 +40,13 @@ from tidemark.llm import text as tx
 
 MU = 300.0
 CONTEXT_BITS = 40  # beside 24 bits for the words of a shard
+SHARE = 8  # a word with more than 1 / SHARE of the tokens of a shard goes as several
 FOLDS, HELD = 7, 2
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Place of the k-th one (from 0) of a byte.
+_ONE_AT = np.array([([j for j in range(8) if i >> j & 1] + [0] * 8)[:8] for i in range(256)], np.uint8)
+STEP = 8  # bytes of high bits for an entry of a directory
 
 
 class EliasFano:
@@ -47,36 +54,42 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = _POPCOUNT[high]
-        self.ones_before = np.concatenate([[0], np.cumsum(ones, dtype=np.int64)])
-        self.zeros_before = np.arange(len(high) + 1, dtype=np.int64) * 8 - self.ones_before
+        ones = _POPCOUNT[high].reshape(-1, STEP).sum(axis=1, dtype=np.int64)
+        self.ones_before = np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32)
+        self.zeros_before = (np.arange(len(ones) + 1) * (8 * STEP) - self.ones_before).astype(np.uint32)
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
+        low_bits = min(57, max(0, (top // max(n, 1)).bit_length() - 1))
         at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        bits = np.zeros((int(at[-1]) + 9) // 8 * 8 if n else 8, np.uint8)
+        bits = np.zeros(((int(at[-1]) if n else 0) // (8 * STEP) + 1) * 8 * STEP, np.uint8)
         bits[at] = 1
-        low = values & np.uint64((1 << low_bits) - 1)
-        width = (low_bits + 7) // 8
-        packed = np.ascontiguousarray(low.view(np.uint8).reshape(n, 8)[:, :width]) if n else np.zeros((0, width), np.uint8)
-        return cls(n, low_bits, packed, np.packbits(bits, bitorder="little"))
+        low, packed, step = values & np.uint64((1 << low_bits) - 1), [], 1 << 16
+        for i in range(0, n if low_bits else 0, step):
+            part = np.ascontiguousarray(low[i : i + step], "<u8")
+            packed.append(np.packbits(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low_bits].ravel(), bitorder="little"))
+        return cls(n, low_bits, np.concatenate([*packed, np.zeros(8, np.uint8)]), np.packbits(bits, bitorder="little"))
 
     def _select(self, before: np.ndarray, i: np.ndarray, ones: bool) -> np.ndarray:
-        byte = np.searchsorted(before, i, side="right") - 1
-        byte = np.minimum(byte, len(self.high) - 1)
-        rest = i - before[byte]
-        bits = np.unpackbits(self.high[byte][:, None], axis=1, bitorder="little")
-        seen = np.cumsum(bits if ones else 1 - bits, axis=1)
-        return byte * 8 + (seen <= rest[:, None]).sum(axis=1)
+        step = np.minimum(np.searchsorted(before, i.astype(np.uint32), side="right") - 1, len(before) - 2)
+        rest = i - before[step]
+        own = self.high.reshape(-1, STEP)[step]
+        if not ones:
+            own = ~own
+        seen = np.cumsum(_POPCOUNT[own], axis=1, dtype=np.uint8)
+        byte = np.minimum((seen <= rest[:, None]).sum(axis=1), STEP - 1)
+        each = np.arange(len(i))
+        rest = rest - np.where(byte > 0, seen[each, byte - 1], 0)
+        return step * (8 * STEP) + byte * 8 + _ONE_AT[own[each, byte], np.clip(rest, 0, 7)]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for k in range(self.low.shape[1]):
-            out |= self.low[i, k].astype(np.uint64) << np.uint64(8 * k)
-        return out
+        if not self.low_bits:
+            return np.zeros(len(i), np.uint64)
+        bit = i * self.low_bits
+        eights = np.ndarray(len(self.low) - 7, "<u8", self.low, strides=(1,))
+        return (eights[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         high = (self._select(self.ones_before, i, True) - i).astype(np.uint64)
@@ -133,11 +146,15 @@ class Trie:
         self.counts, self.codes, self.book = parts["counts"], parts["codes"], parts["book"]
 
     @classmethod
-    def build(cls, w: np.ndarray, h: np.ndarray, c: np.ndarray, total: int, known: int, mu: float = MU) -> Trie:
-        """From pairs sorted by word, then context, without repeats."""
+    def build(cls, w: np.ndarray, h: np.ndarray, c: np.ndarray, total: int, known: int, mu: float = MU, whole: tuple | None = None) -> Trie:
+        """From pairs sorted by word, then context, without repeats; whole: see Split.counts."""
         new = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
         starts = np.flatnonzero(new)
         counts = np.add.reduceat(c, starts) if len(starts) else np.zeros(0, np.int64)
+        if len(starts) > 1 << (64 - CONTEXT_BITS):
+            raise ValueError(f"{len(starts)} words in a shard; use more shuffle partitions")
+        if whole is not None:
+            counts = _overridden(w[starts], counts, *whole)
         rank = np.cumsum(new) - 1
         value = np.log10(c + mu * (counts[rank] + 1) / (total + known + 1)) if len(w) else np.zeros(0)
         codes, book = quantised(value)
@@ -169,15 +186,15 @@ class Trie:
             parts[k] = raw[start + at : start + at + size].view(kind).reshape(shape)
         return cls(parts)
 
-    def count(self, w: np.ndarray) -> np.ndarray:
+    def count(self, w: np.ndarray, whole: tuple | None = None) -> np.ndarray:
         i = self.words.find(w)
-        return np.where(i >= 0, self.counts[np.maximum(i, 0)], 0) if len(self.counts) else np.zeros(len(w), np.int64)
+        out = np.where(i >= 0, self.counts[np.maximum(i, 0)], 0) if len(self.counts) else np.zeros(len(w), np.int64)
+        return out if whole is None else _overridden(w, out, *whole)
 
-    def numerator(self, w: np.ndarray, h: np.ndarray, total: int, known: int, mu: float = MU) -> np.ndarray:
+    def numerator(self, w: np.ndarray, h: np.ndarray, total: int, known: int, mu: float = MU, whole: tuple | None = None) -> np.ndarray:
         """log10 of c(hw) + mu * (c(w) + 1) / (N + V + 1)."""
         i = self.words.find(w)
-        c = np.where(i >= 0, self.counts[np.maximum(i, 0)], 0) if len(self.counts) else np.zeros(len(w), np.int64)
-        out = np.log10(mu * (c + 1) / (total + known + 1))
+        out = np.log10(mu * (self.count(w, whole) + 1) / (total + known + 1))
         at = np.flatnonzero(i >= 0)
         if len(at):
             j = self.contexts.find((i[at].astype(np.uint64) << np.uint64(CONTEXT_BITS)) | h[at])
@@ -187,6 +204,42 @@ class Trie:
         return out
 
 
+def _overridden(w: np.ndarray, counts: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The counts, with those of keys replaced by totals."""
+    if not len(keys):
+        return counts
+    at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+    return np.where(keys[at] == w, totals[at], counts)
+
+
+class Split:
+    """Frequent words that go as several: words (sorted) and their counts in training tokens."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, shards: int):
+        often = counts * (SHARE * shards) > total
+        order = np.argsort(words[often])
+        self.words, counts = words[often][order], counts[often][order]
+        self.classes = -(-counts * (SHARE * shards) // max(total, 1))
+        keys = np.concatenate([_class_key(np.repeat(self.words, self.classes), np.arange(int(self.classes.sum())) - np.repeat(np.cumsum(self.classes) - self.classes, self.classes))]) if len(counts) else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        #: Keys of all words that these go as, and the whole count of each.
+        self.counts = keys[order], np.repeat(counts, self.classes)[order]
+
+    def keys(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The words w in the contexts h as they go."""
+        if not len(self.words):
+            return w
+        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        hit = np.flatnonzero(self.words[at] == w)
+        out = w.copy()
+        out[hit] = _class_key(w[hit], (h[hit] % self.classes[at[hit]].astype(np.uint64)).astype(np.int64))
+        return out
+
+
+def _class_key(w: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return tx.mixed(w ^ tx.mixed((k + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _end() -> np.uint64:
     return tx.hashed(pa.array([tx.END_WORD]))[0]
 
@@ -206,29 +259,34 @@ def _shard(w: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _vocabulary(shards: int):
-    """Distinct training words of a block by shard, and the number of training tokens."""
+    """Distinct training words of a block by shard, with their counts."""
 
     def run(batches):
         for block in tx.blocks(batches):
             w, offsets = tokens(tx.column(block, "text"))
             learn = ~np.asarray(tx.column(block, "held_out").cast(pa.int8())).astype(bool)
             w = w[np.repeat(learn, np.diff(offsets))]
-            u = np.unique(w)
+            u, c = np.unique(w, return_counts=True)
             cuts = np.searchsorted(_shard(u, shards), np.arange(shards + 1))
             full = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([u[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()), pa.array([len(w) if k == 0 else 0 for k in range(len(full))], pa.int64())], ["shard", "w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([u[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()), pa.array([_small(c[cuts[s] : cuts[s + 1]]) for s in full], pa.binary())], ["shard", "w", "c"])
 
     return run
 
 
 def _distinct(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"known": [len(np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["w"]])))], "total": [int(pdf["n"].sum())]})
+    """Distinct words and tokens of a shard, and its words with a sixteenth of them or more."""
+    ws = [np.frombuffer(x, np.uint64) for x in pdf["w"]]
+    u, at = np.unique(np.concatenate(ws), return_inverse=True)
+    c = np.rint(np.bincount(at, np.concatenate([_counts(x, len(w)) for x, w in zip(pdf["c"], ws)]), minlength=len(u))).astype(np.int64)
+    often = c * 16 >= c.sum()
+    return pd.DataFrame({"known": [len(u)], "total": [int(c.sum())], "w": [u[often].tobytes()], "c": [c[often].tobytes()]})
 
 
 _QUERIES = "shard int, block long, w binary, nw binary, h binary, c binary, occ binary, times binary, rows binary"
 
 
-def _pairs(shards: int):
+def _pairs(shards: int, shared):
     """Distinct (word, context) of a block by shard: training counts, and the rows in which they occur."""
 
     def run(batches):
@@ -239,6 +297,7 @@ def _pairs(shards: int):
             h[1:] = w[:-1]
             h[offsets[:-1]] = _end()
             h = tx.mixed(h) >> np.uint64(64 - CONTEXT_BITS)
+            w = shared.value.keys(w, h)
             row = tx.row_of(offsets)
             order = np.lexsort((h, w))
             w, h, row = w[order], h[order], row[order].astype(np.uint16)
@@ -294,8 +353,9 @@ def _unpack(w: bytes, nw: bytes, h: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     return words, raw.view(np.uint64).ravel(), np.repeat(np.arange(len(words)), sizes)
 
 
-def _learn_and_score(total: int, known: int, mu: float):
+def _learn_and_score(total: int, known: int, mu: float, shared):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = shared.value.counts
         ws, hs, cs = [], [], []
         for w, nw, h, c in zip(pdf["w"], pdf["nw"], pdf["h"], pdf["c"]):
             words, ctx, at = _unpack(w, nw, h)
@@ -311,7 +371,7 @@ def _learn_and_score(total: int, known: int, mu: float):
         if len(w):
             starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])]))
             w, h, c = w[starts], h[starts], np.add.reduceat(c, starts)
-        trie = Trie.mapped(Trie.build(w, h, c, total, known, mu).dump())
+        trie = Trie.mapped(Trie.build(w, h, c, total, known, mu, whole).dump())
         del w, h, c, order
         out = []
         for block, w, nw, h, occ, rows, heads in zip(pdf["block"], pdf["w"], pdf["nw"], pdf["h"], pdf["occ"], pdf["rows"], pdf["times"]):
@@ -319,8 +379,8 @@ def _learn_and_score(total: int, known: int, mu: float):
             times = _counts(occ, len(ctx))
             row = np.frombuffer(rows, np.uint16).astype(np.int64)
             n = int(row.max()) + 1 if len(row) else 0
-            count = trie.count(words)
-            per_pair = trie.numerator(words[at], ctx, total, known, mu) - np.log10(count + mu)[at]
+            count = trie.count(words, whole)
+            per_pair = trie.numerator(words[at], ctx, total, known, mu, whole) - np.log10(count + mu)[at]
             sums = np.zeros((4, n))
             for i, v in enumerate((np.ones(len(at)), (count > 0)[at].astype(float), np.log10(count + 1)[at], per_pair)):
                 sums[i] = np.bincount(row, np.repeat(v, times), minlength=n)
@@ -352,11 +412,14 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, mu: float = MU)
     fold = F.crc32(F.col("doc_id").cast("string")) % folds == held
     rows = tx.documents(docs)
     rows = rows.select("doc_id", "text", F.coalesce(fold, F.lit(False)).alias("held_out"), tx.row_key(rows).alias("rid"))
-    vocabulary = rows.select("text", "held_out").mapInArrow(_vocabulary(shards), "shard int, w binary, n long")
-    sizes = vocabulary.groupBy("shard").applyInPandas(_distinct, "known long, total long").agg(F.sum("known"), F.sum("total")).first()
-    known, total = int(sizes[0] or 0), int(sizes[1] or 0)
-    pairs = rows.mapInArrow(_pairs(shards), _QUERIES)
-    learn = _learn_and_score(total, known, mu)
+    vocabulary = rows.select("text", "held_out").mapInArrow(_vocabulary(shards), "shard int, w binary, c binary")
+    # a row for each shard, with 16 words at most
+    sizes = vocabulary.groupBy("shard").applyInPandas(_distinct, "known long, total long, w binary, c binary").collect()
+    known, total = sum(r.known for r in sizes), sum(r.total for r in sizes)
+    frequent = (np.frombuffer(b"".join(r[k] for r in sizes), t) for k, t in (("w", np.uint64), ("c", np.int64)))
+    shared = spark.sparkContext.broadcast(Split(*frequent, total, shards))
+    pairs = rows.mapInArrow(_pairs(shards, shared), _QUERIES)
+    learn = _learn_and_score(total, known, mu, shared)
 
     def by_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         return learn(pdf).assign(shard=pdf["shard"].iloc[0])
