@@ -5,10 +5,12 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, lm, pii, quality_model, quality_rules, warc
 from tidemark.llm.queries import tokenizer_path
@@ -94,10 +96,52 @@ def test_context_finds_unseen_numbers(spark):
             assert r.spans == ""
 
 
+def test_found_instances_induce_further_patterns(spark):
+    cards = [c for c in (f"40470544339{i:05d}" for i in range(300)) if pii.luhn(c)]
+    new = [f"12345678901234{i:02d}" for i in range(10, 40) if not pii.luhn(f"12345678901234{i:02d}")][:7]
+    say = lambda i, a, v, b: (i, f"u{i} {a} {v} {b} v{i}")
+    rows = [say(i, "my card number", c, "thanks bye") for i, c in enumerate(cards)]
+    rows += [say(100 + i, "my card number", c, "thanks bye") for i, c in enumerate(new[:6])] + [say(200 + i, "please charge to", c, "right away") for i, c in enumerate(new)]
+    rows += [(300, "order 1234567890123 shipped")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.mentions(df)
+    once, thrice = ({r.value for r in pii.bootstrap(found, rounds=k).collect()} for k in (1, 3))
+    assert len(new) == 7 and once == set(new[:6]) and thrice == set(new)
+    assert {r.doc_id for r in pii.digests(df).where("spans = ''").collect()} == {300}
+
+
+def test_held_out_seeds_are_found_again(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(16))
+    rows, private = [], set()
+    for i in range(900):
+        n = number()
+        if i % 3:
+            n = next(x for d in range(10) if pii.luhn(x := n[:-1] + str(d)))
+            rows.append((i, f"{word()} {word()} card number {n} on file {word()}"))
+            private.add(n)
+        else:
+            rows.append((i, f"{word()} {word()} parcel tracking {n} was sent {word()}"))
+    found = pii.mentions(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = {v for v in private if int(v) % 4 == 0}
+    masked = found.withColumn("mentions", F.transform("mentions", lambda m: m.withField("seed", m["seed"] & ~m["value"].isin(list(held)))))
+    got = {r.value for r in pii.bootstrap(masked).collect()}
+    assert len(held) > 100 and len(got & held) >= 0.95 * len(held) and len(got & private) >= 0.95 * len(got)
+
+
+def test_scans_of_unbroken_text_are_linear():
+    for text in ("a" * 1_000_000, "a" * 500_000 + "@" + "b" * 500_000, "a@" * 300_000, "1" * 1_000_000, "1-" * 400_000, "+1(" * 300_000, "1." * 400_000, "@a." * 300_000, "a@b.co" * 150_000):
+        began = time.time()
+        pii.candidates(text, pii.base_spans(text))
+        assert time.time() - began < 8
+
+
 def test_redaction(spark):
-    df = spark.createDataFrame([(1, "mail a@b.co now", 15, "k"), (2, None, 0, "k")], "doc_id long, text string, n_chars long, spans string")
+    df = spark.createDataFrame([(1, "mail a@b.co now", 15, "k", 5, "s", 7), (2, None, 0, "k", 6, "s", 8)], "doc_id long, text string, n_chars long, spans string, _key int, found_spans string, ROW_KEY int")
     got = {r.doc_id: r for r in pii.redact(df).collect()}
-    assert got[1].text == "mail [EMAIL] now" and got[1].n_chars == 16 and got[2].text is None and got[1].spans == "k"
+    assert got[1].text == "mail [EMAIL] now" and got[1].n_chars == 16 and got[2].text is None
+    assert (got[1].spans, got[1]._key, got[1].found_spans, got[1].ROW_KEY) == ("k", 5, "s", 7) and pii.redact(df).columns == df.columns
 
 
 def plain_counts(t):
@@ -177,7 +221,7 @@ def test_language_model(spark, docs):
     import math
     import zlib
 
-    frame = docs.where("n_chars < 5000")
+    frame = docs
     texts = {r.doc_id: re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) + ["\n"] for r in frame.collect()}
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
     c, bi = collections.Counter(), collections.Counter()
@@ -195,6 +239,25 @@ def test_language_model(spark, docs):
     assert lm.score(odd(spark, ["a a", None, ""])).count() == 5 and lm.score(docs.limit(0)).count() == 0
 
 
+def test_a_word_that_is_most_of_the_text(spark):
+    import collections
+    import math
+
+    rng = random.Random(6)
+    texts = [" ".join("the" if rng.random() < 0.6 else f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in lm.score(frame).collect()}
+    learn = [x.split() + ["\n"] for d, x in enumerate(texts) if not out[d].held_out]
+    c, bi = collections.Counter(w for ws in learn for w in ws), collections.Counter(p for ws in learn for p in zip(["\n", *ws], ws))
+    total, known = sum(c.values()), len(c)
+    assert c["the"] * lm.SHARE * 4 > 8 * total  # goes as many words
+    for d, x in enumerate(texts):
+        ws = x.split() + ["\n"]
+        model = sum(math.log10((bi[h, w] + lm.MU * (c[w] + 1) / (total + known + 1)) / (c[h] + lm.MU)) for h, w in zip(["\n", *ws], ws))
+        assert (out[d].n_tokens, out[d].n_known, out[d].train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), total)
+        assert out[d].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + known + 1)) for w in ws)) and abs(out[d].score - model) < 0.03 * len(ws)
+
+
 def test_words_beyond_sixteen_bits():
     w = np.repeat(np.arange(70_000, dtype=np.uint64) << np.uint64(20), 2)
     h = np.tile(np.array([3, (1 << 40) - 1], np.uint64), 70_000)
@@ -276,6 +339,11 @@ def test_warc_round_trip(spark, tmp_path):
     assert got[7].payload == "é" * 100_000 and got[7].payload_digest == base64.b32encode(hashlib.sha1(("é" * 100_000).encode()).digest()).decode()
     hit = warc.read(spark, path, where="record_type = 'revisit' and url like 'http%'")
     assert [r.page_id for r in hit.collect()] == [3] and warc.read(spark, path, payload=False).where("payload is not null").count() == 0
+    (tmp_path / "c").mkdir()
+    wide = [(1, "http://" + "x" * 70_000, "p"), (2, "http://" + "é y" * 300_000, "p"), (3, "z", "q")]
+    warc.write(spark.createDataFrame(wide, "page_id long, url string, html string"), str(tmp_path / "c"))
+    assert {(r.page_id, r.url, r.payload) for r in warc.read(spark, str(tmp_path / "c"), verify=True).collect()} == {(1, wide[0][1], "p"), (2, wide[1][1], None), (3, "z", "q")}
+    assert [r.page_id for r in warc.read(spark, str(tmp_path / "c"), payload=False, where="refers_to = 1").collect()] == [2]
     (tmp_path / "b").mkdir()
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "b"))
     assert warc.read(spark, str(tmp_path / "b")).count() == 0

@@ -1,12 +1,13 @@
 """BPE encoding and decoding with a public tokenizer file, by tree concatenation.
 
 White space separates words for good, so a text's ids are those of its words in
-order. Each distinct word of a block is encoded once by the tokenizers library.
-A run of more than `long_run` characters without white space is unsplit text: its
-pre-tokens are cut into pieces that are encoded in parallel, and neighbouring
-pieces are joined pairwise, as in a tree. At each join a window of tokens is
-encoded again; it grows until its first and last token equal those of the two
-sides. Null texts count as empty; empty texts have no ids and decode to "".
+order, and each distinct word of a block is encoded once. Words are unsplit text: the
+pre-tokens of those over SPLIT characters are cut into pieces of that size, which are
+encoded side by side, and neighbouring pieces are joined pairwise, as in a tree. At
+each join a window of tokens is encoded again; it grows until its first and last token
+equal those of the two sides. Pieces of runs of `long_run` characters or more are
+larger and dealt out over tasks, so that no task holds the work of such a run alone.
+Null texts count as empty; empty texts have no ids and decode to "".
 Rows that repeat are encoded alike. Only doc_id and text are read.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
 
+SPLIT = 12
 LONG_RUN = 2_000
-PIECE = 1_000
+MOST_KNOWN = 300_000  # words whose ids a worker remembers, some 50 MB; others are encoded anew
+PIECE = 1_000  # characters of a piece that is dealt out
 
 
 @lru_cache(maxsize=2)
@@ -79,12 +83,18 @@ def join_sides(path: str, left: list[int], right: list[int], is_last: bool) -> l
         n *= 2
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> list[str]:
+    return sorted((x.content for x in tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+
+
 def pretokens(path: str, run: str) -> list[tuple[bool, str]]:
     """(is an added token, string) of a run: added tokens split it first, then the file's own rules."""
     t = tokenizer(path)
-    added = sorted((x.content for x in t.get_added_tokens_decoder().values()), key=len, reverse=True)
     parts: list[tuple[bool, str]] = [(False, run)]
-    for a in added:
+    for a in added_tokens(path):
+        if a not in run:
+            continue
         split = []
         for is_added, s in parts:
             if is_added:
@@ -108,7 +118,7 @@ def cut(path: str, run: str, size: int = PIECE) -> list[tuple[int, bool, bool, s
     out = []
     for k, (is_added, s) in enumerate(pretokens(path, run)):
         starts = range(0, 1 if is_added else len(s), size)
-        out += [(k, i + size >= len(s), is_added, s if is_added else s[i : i + size]) for i in starts]
+        out += [(k, is_added or i + size >= len(s), is_added, s if is_added else s[i : i + size]) for i in starts]
     return out
 
 
@@ -120,14 +130,49 @@ def join_tree(path: str, pieces: list[tuple[list[int], bool]]) -> list[int]:
     return pieces[0][0] if pieces else []
 
 
+def encode_unsplit(path: str, words: list[str], size: int = SPLIT) -> list[list[int]]:
+    """Ids of words, by trees over pieces of at most size characters; all pieces are encoded first, in two batches."""
+    t, (inner, last, _) = tokenizer(path), piece_models(path)
+    plans = [cut(path, w, size) for w in words]
+    batches: dict[bool, list[str]] = {False: [], True: []}
+    for plan in plans:
+        for _, is_last, is_added, s in plan:
+            if not is_added:
+                batches[is_last].append(s)
+    ids = {k: iter(m.encode_batch_fast(batches[k], add_special_tokens=False)) for k, m in ((False, inner), (True, last))}
+    out = []
+    for plan in plans:
+        own, pieces = [], []
+        for _, is_last, is_added, s in plan:
+            pieces.append(([t.token_to_id(s)] if is_added else next(ids[is_last]).ids, is_last))
+            if is_last:
+                own += join_tree(path, pieces)
+                pieces = []
+        out.append(own)
+    return out
+
+
+@lru_cache(maxsize=2)
+def _known(path: str) -> dict[str, bytes]:
+    """Ids of words that this worker has encoded."""
+    return {}
+
+
 def _encode_words(path: str, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    t = tokenizer(path)
-    found, step = [], 20_000
-    for i in range(0, len(distinct), step):
-        found += [x.ids for x in t.encode_batch_fast(distinct.slice(i, step).to_pylist(), add_special_tokens=False)]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((y for x in found for y in x), np.uint32, int(sizes.sum()))
-    return flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    t, known, step = tokenizer(path), _known(path), 20_000
+    words = distinct.to_pylist()
+    found = [known.get(w) for w in words]
+    new = [i for i, x in enumerate(found) if x is None]
+    plain, unsplit = [i for i in new if len(words[i]) <= SPLIT], [i for i in new if len(words[i]) > SPLIT]
+    for at, encode in ((plain, lambda ws: [x.ids for x in t.encode_batch_fast(ws, add_special_tokens=False)]), (unsplit, lambda ws: encode_unsplit(path, ws))):
+        for i in range(0, len(at), step):
+            own = at[i : i + step]
+            for k, ids in zip(own, encode([words[j] for j in own])):
+                found[k] = array("I", ids).tobytes()
+                if len(known) < MOST_KNOWN:
+                    known[words[k]] = found[k]
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def _gather(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
