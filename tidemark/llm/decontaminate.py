@@ -280,6 +280,6 @@ def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs in which no item occurs."""
-    hit = search(docs, benchmark, rate).select(F.col("rid").alias("_rid")).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("_key", key).join(hit, F.col("_key") == F.col("_rid"), "left_anti").select(*docs.columns)
+    key = tx.private(docs, "row_key")
+    hit = search(docs, benchmark, rate).select(F.col("rid").alias(key)).distinct()
+    return docs.withColumn(key, tx.raw_key()).join(hit, key, "left_anti").drop(key)

@@ -76,6 +76,15 @@ def set_prints(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
     return sizes, tx.mixed(tx.mixed(low) + high * np.uint64(0x9E3779B97F4A7C15) + sizes.astype(np.uint64)).view(np.int64)
 
 
+def range_bounds(parts: int) -> np.ndarray:
+    """Where the ranges begin and end in the upper 32 bits of the hashes."""
+    return (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts)
+
+
+def low_bits(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> np.uint64(64 - RANGE_BITS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def planes(x: np.ndarray) -> bytes:
     """Bytes of sorted integers, plane by plane, which the shuffle's compression shortens."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -97,9 +106,8 @@ def _pack(parts: int, n_words: int):
             sizes, prints = set_prints(keys, rows, block.num_rows)
             ids = np.asarray(tx.column(block, "doc_id").fill_null(int(NO_ID))).astype(np.int64)
             rids = np.asarray(tx.column(block, "rid")).astype(np.int64)
-            high = keys >> np.uint64(32)
-            cuts = np.searchsorted(high, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
-            low = ((keys >> np.uint64(64 - RANGE_BITS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            cuts = np.searchsorted(keys >> np.uint64(32), range_bounds(parts))
+            low = low_bits(keys)
             data = {k: [] for k in ("block", "part", "h", "d", "rids", "ids", "sizes", "prints")}
             for p in range(parts):
                 s, e = cuts[p], cuts[p + 1]
@@ -124,14 +132,14 @@ def _count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
     n = np.diff(np.append(starts, len(s)))
     df = np.empty(len(h), np.int64)
     df[order] = np.repeat(n, n)
-    counts, hot_row, hot_key, at = [], [], [], 0
+    counts, hot_row, hot_key, at, part = [], [], [], 0, np.uint64(pdf["part"].iloc[0])
     for x, d in zip(hs, pdf["d"]):
         d, own = np.frombuffer(d, np.uint16), df[at : at + len(x)]
         counts.append(np.bincount(d[own > 1], minlength=1).astype(np.uint32).tobytes())
         hot = own > HOT
         level = np.log2(own[hot]).astype(np.uint64)
         hot_row.append(d[hot].tobytes())
-        hot_key.append((x[hot].astype(np.uint64) | (level << np.uint64(32))).tobytes())
+        hot_key.append((x[hot].astype(np.uint64) | (part << np.uint64(32)) | (level << np.uint64(48))).tobytes())
         at += len(x)
     out = pdf[["block", "part", "rids", "ids", "sizes", "prints"]].copy()
     out["counts"], out["hot_row"], out["hot_key"] = counts, hot_row, hot_key
@@ -160,32 +168,41 @@ def _sum_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rid": rids, "doc_id": ids, "n": sizes, "node": prints, "shared": shared, "hot": hot})
 
 
+def _ranges(docs: DataFrame) -> int:
+    return min(tx.shuffle_width(docs.sparkSession), 1 << 16)
+
+
 def incidence_counts(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """rid, doc_id, n (set size), node (fingerprint of the set), shared and the common shingles of every row."""
     docs = tx.documents(docs)
-    parts = min(tx.shuffle_width(docs.sparkSession), 1 << 16)
+    parts = _ranges(docs)
     packed = docs.withColumn("rid", tx.row_key(docs)).mapInArrow(_pack(parts, n_words), _PACKED)
     counted = packed.groupBy("part").applyInPandas(_count_shared, _COUNTED)
     return counted.groupBy("block").applyInPandas(_sum_block, "rid long, doc_id long, n long, node long, shared long, hot binary")
 
 
-def prefix(keys: np.ndarray, hot: bytes | None) -> np.ndarray:
-    """The shingles of a set of which a linked set must share one: rare ones first."""
+def prefix(keys: np.ndarray, hot: bytes | None, parts: int) -> np.ndarray:
+    """The shingles of a set of which a linked set must share one: rare ones first.
+
+    hot: range and low bits of the common ones, by which they were counted, and above
+    them the logarithm of the count; so all sets order their shingles alike.
+    """
     n = len(keys)
     p = n - (n * PERCENT + 99) // 100 + 1
     if hot:
         k = np.frombuffer(hot, np.uint64)
-        common = k & np.uint64(0xFFFFFFFF)
+        common = k & np.uint64((1 << 48) - 1)
         order = np.argsort(common)
-        common, level = common[order], (k >> np.uint64(32))[order]
-        low = (keys >> np.uint64(64 - RANGE_BITS)) & np.uint64(0xFFFFFFFF)
-        at = np.minimum(np.searchsorted(common, low), len(common) - 1)
-        grade = np.where(common[at] == low, level[at], 0)
+        common, level = common[order], (k >> np.uint64(48))[order]
+        part = (np.searchsorted(range_bounds(parts), keys >> np.uint64(32), side="right") - 1).astype(np.uint64)
+        own = low_bits(keys) | (part << np.uint64(32))
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        grade = np.where(common[at] == own, level[at], 0)
         keys = keys[np.lexsort((keys, grade))]
     return keys[:p]
 
 
-def _sets(n_words: int):
+def _sets(n_words: int, parts: int):
     def run(frames):
         for pdf in frames:
             for i in range(0, len(pdf), 500):
@@ -194,7 +211,7 @@ def _sets(n_words: int):
                 order = np.argsort(rows, kind="stable")
                 cuts = np.searchsorted(rows[order], np.arange(len(part) + 1))
                 own = [keys[order[s:e]] for s, e in zip(cuts[:-1], cuts[1:])]
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "n": part["n"].to_numpy(), "keys": [x.tobytes() for x in own], "prefix": [prefix(x, h).view(np.int64) for x, h in zip(own, part["hot"])]})
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "n": part["n"].to_numpy(), "keys": [x.tobytes() for x in own], "prefix": [prefix(x, h, parts).view(np.int64) for x, h in zip(own, part["hot"])]})
 
     return run
 
@@ -294,7 +311,7 @@ def classes(docs: DataFrame, n_words: int = WORDS) -> tuple[DataFrame, DataFrame
     reps = kept.groupBy("node").agg(F.min_by(F.struct("rid", "n", "hot"), F.struct("doc_id", "rid")).alias("r")).select("node", "r.rid", "r.n", "r.hot")
     own = tx.documents(docs)
     own = own.withColumn("rid", tx.row_key(own)).select("rid", "text")
-    sets = reps.join(own, "rid").dropDuplicates(["rid"]).select("node", "n", "hot", "text").mapInPandas(_sets(n_words), "node long, n long, keys binary, prefix array<long>")
+    sets = reps.join(own, "rid").dropDuplicates(["rid"]).select("node", "n", "hot", "text").mapInPandas(_sets(n_words, _ranges(docs)), "node long, n long, keys binary, prefix array<long>")
     sets = tx.checkpoint(sets)
     entries = sets.select("node", F.explode("prefix").alias("h"))
     least = entries.groupBy("h").agg(F.min("node").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -322,10 +339,9 @@ def join(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
 
 def keep_one(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """One row of docs for each group: that of the smallest doc_id (nulls last), then of the smallest row key."""
-    columns = docs.columns
+    key = tx.private(docs, "row_key")
     rows, parts = classes(docs, n_words)
     first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("f")).join(parts, "node", "left")
-    first = first.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("f").alias("f")).select(F.col("f.rid").alias("_rid"))
-    ids = first.unionByName(rows.where("n = 0").select(F.col("rid").alias("_rid"))).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("_key", key).join(ids, F.col("_key") == F.col("_rid"), "left_semi").dropDuplicates(["_key"]).select(*columns)
+    first = first.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("f").alias("f")).select(F.col("f.rid").alias(key))
+    ids = first.unionByName(rows.where("n = 0").select(F.col("rid").alias(key))).distinct()
+    return docs.withColumn(key, tx.raw_key()).join(ids, key, "left_semi").dropDuplicates([key]).drop(key)

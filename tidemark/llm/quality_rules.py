@@ -238,7 +238,6 @@ def judge(docs: DataFrame, bound: float = BOUND, least: int = LEAST) -> DataFram
 
 def clean(docs: DataFrame, bound: float = BOUND) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    kept = judge(docs, bound).where("kept").select(F.col("rid").alias("_rid")).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(kept, key == kept["_rid"], "left_semi")
-
+    key = tx.private(docs, "row_key")
+    kept = judge(docs, bound).where("kept").select(F.col("rid").alias(key)).distinct()
+    return docs.withColumn(key, tx.raw_key()).join(kept, key, "left_semi").drop(key)
