@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm import graph, ngram_join, substring_dedup, suffix_dedup
+from tidemark.llm import decontaminate, graph, ngram_join, pii, quality_rules, substring_dedup, suffix_dedup
 from tidemark.llm.queries import queries
 from tidemark.llm.suffix_sort import suffix_array
 
@@ -84,6 +84,13 @@ def test_one_row_of_each_group_stays(spark):
     assert ngram_join.join(table(spark, some).limit(0)).count() == 0
 
 
+def test_extra_columns_stay_as_they_are(spark):
+    some = spark.createDataFrame([(i, t, f"k{i}", i, "odd") for i, t in enumerate(["a b c d e f", "a b c d e f", "g"])], "doc_id long, text string, _key string, row_key int, `x.y` string")
+    bench = spark.createDataFrame([(1, "nothing of this is found anywhere at all")], "item_id long, text string")
+    for out in (ngram_join.keep_one(some), decontaminate.drop_leaks(some, bench), quality_rules.clean(some), pii.redact(some)):
+        assert out.columns == some.columns and all(r._key == f"k{r.doc_id}" and r.row_key == r.doc_id for r in out.collect())
+
+
 def test_one_row_of_near_copies_under_one_id_or_none(spark):
     words = [f"w{i}" for i in range(80)]
     near = lambda tag, ws: [" ".join(ws[:40] + [f"{tag}{k}"] + ws[41:]) for k in range(3)]
@@ -156,12 +163,21 @@ def byte_cases():
 
 
 def test_suffix_dedup(spark, rows):
-    for some in (byte_cases(), [r for r in rows if len(r[1] or "") < 6000]):
-        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(table(spark, some)).collect())
+    for some, most in ((byte_cases(), suffix_dedup.MOST), (byte_cases(), 3), (rows, suffix_dedup.MOST)):
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(table(spark, some), most=most).collect())
         assert got == plain_bytes(some)
     assert suffix_dedup.digests(table(spark, rows[:1]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [16, 120, 140, 200, 300])
+def test_suffix_dedup_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    shared = "".join(rng.choice("abcdé ") for _ in range(900))
+    some = [(1, shared), (2, "x" + shared + "yz"), (3, shared[100:450] + "-" + shared[500 : 500 + length - 1]), (4, shared[:length])]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(table(spark, some), length).collect())
+    assert got == plain_bytes(some, length) and sum(r[2] for r in got) > 900
+
+
 def test_suffix_dedup_keeps_bytes(spark):
     text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(90))
     got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove(table(spark, [(1, text), (2, "é" + text + "tail")])).collect()}
@@ -200,8 +216,8 @@ def word_cases():
 
 
 def test_substring_dedup(spark, rows):
-    for some, budget in ((word_cases(), 40), (rows, substring_dedup.BUDGET)):
-        got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(table(spark, some), budget=budget).collect())
+    for some, budget, most in ((word_cases(), 40, substring_dedup.MOST), (word_cases(), 40, 3), (rows, substring_dedup.BUDGET, substring_dedup.MOST)):
+        got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(table(spark, some), budget=budget, most=most).collect())
         assert got == plain_words(some)
     assert substring_dedup.digests(table(spark, rows[:1]).limit(0)).count() == 0
     kept = {r.doc_id: r.kept for r in substring_dedup.remove(table(spark, [(1, "x " + "r " * 40 + "y"), (2, "one two")])).collect()}

@@ -1,12 +1,15 @@
 """Removal of repeated word sequences, by prefix-partitioned suffix trees.
 
-Records of repeated windows (see windows.py) are dealt out by the words at their
-anchors. In each task the suffixes that start at the anchors are split by prefixes of
-as many words as it takes to make groups of at most `budget` suffixes, up to the
-length of an anchor, which all repeats share; short prefixes share a group. For each group one suffix tree is built, from its sorted suffixes and
-their common prefixes. Its internal nodes as deep as the part of a window to the right
-of the anchor are the repeats; ranks of the words to the left split them further, and
-every window found at two places or more is removed at all of them.
+Sides of records of repeated windows (see windows.py) are dealt out over tasks by the
+half that their windows share. In each task the suffixes that start at the anchors are
+split by prefixes of as many words as it takes to make groups of at most `budget`
+suffixes, up to the length of an anchor, which all repeats share; short prefixes share
+a group. For each group one suffix tree is built, from its sorted suffixes and their
+common prefixes. Its internal nodes as deep as the part of a window to the right of the
+anchor are the repeats; ranks of the words to the left split them further, and every
+window found at two places or more is removed at all of them. Where more than `most`
+places share a half, the prefix takes in the whole window, whose subtree is one leaf:
+its places are counted in Spark, by 128 bits of hash.
 
 Null and empty texts have no words. Rows that repeat are documents of their own, so
 their long passages go from all of them. Only doc_id and text are read.
@@ -31,50 +34,115 @@ WINDOW = 35
 GRAM = 5
 BUDGET = 4096
 BLOCK = 6 << 20
+MOST = 100_000  # places of one half that may meet in a task
 
 
 def _found(texts: pa.Array, shape: win.Shape):
+    """Words, row offsets, hashes of the words, and the sides of all records."""
     flat, offsets = tx.words(texts)
     codes, distinct = tx.coded(flat)
     h = tx.hashed(distinct)[codes]
-    grams = tx.windows_hash(h, shape.gram)
-    a, lo, hi = win.records(grams, offsets, shape)
+    a, lo, hi = win.records(tx.windows_hash(h, shape.gram), offsets, shape)
 
     def half(at: np.ndarray) -> np.ndarray:
-        out = np.full(len(at), np.uint64(shape.half))
-        for i in range(shape.half):
-            out = tx.mixed(out * np.uint64(0x100000001B3) ^ h[at + i])
-        return out
+        return win.folded(h, at, np.full(len(at), shape.half))
 
-    keys = win.half_keys(half, half, a, lo, hi, shape)
-    rows = np.searchsorted(offsets, a, side="right") - 1
-    return flat, offsets, grams, a, lo, hi, rows, keys
+    return flat, offsets, h, win.sides(half, half, a, lo, hi, np.searchsorted(offsets, a, side="right") - 1, shape)
 
 
 def _keys(shape: win.Shape):
     def find(texts: pa.Array):
-        *_, rows, (r, l, need_r, need_l) = _found(texts, shape)
-        return np.concatenate([r[need_r], l[need_l]]), np.concatenate([rows[need_r], rows[need_l]])
+        *_, (_, _, _, rows, keys) = _found(texts, shape)
+        return keys, rows
 
     return find
 
 
-def _records(shape: win.Shape):
+def _hit_sides(block: pa.Table, shape: win.Shape):
+    """Words, offsets and the sides of the block whose halves occur again, but not too often."""
+    flat, offsets, h, (a, lo, hi, rows, keys) = _found(tx.column(block, "text"), shape)
+    hit = win.flagged(keys, rows, tx.column(block, "flags").to_pylist())
+    hit[hit] = ~win.flagged(keys[hit], rows[hit], tx.column(block, "hot").to_pylist())
+    a, lo, hi, rows, keys = (x[hit] for x in (a, lo, hi, rows, keys))
+    size = hi - lo + shape.length
+    return flat, offsets, a, lo, size, rows, keys, win.kind_of(win.folded(h, lo, size), a - lo)
+
+
+_NAMES = ("rid", "flags", "hot")
+
+
+def _places(shape: win.Shape):
+    """Where the sides are: rid, place of the anchor, kind."""
+
+    def run(batches):
+        for block in tx.blocks(win.inflated(batches, _NAMES), BLOCK):
+            _, offsets, a, _, _, rows, _, kind = _hit_sides(block, shape)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(tx.column(block, "rid"))[rows]), pa.array((a - offsets[rows]).astype(np.int32)), pa.array(kind)], ["rid", "at", "kind"])
+
+    return run
+
+
+def _hot_windows(shape: win.Shape):
+    """rid, place and 128 bits of hash of each window of a half that occurs too often."""
+
+    def run(batches):
+        for block in tx.blocks(win.inflated(batches, _NAMES), BLOCK):
+            _, offsets, h, (_, lo, hi, rows, keys) = _found(tx.column(block, "text"), shape)
+            hot = win.flagged(keys, rows, tx.column(block, "hot").to_pylist())
+            lo, n, rows = lo[hot], (hi - lo + 1)[hot], rows[hot]
+            p = np.arange(int(n.sum())) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) if len(n) else np.zeros(0, np.int64)
+            row, size = np.repeat(rows, n), np.full(len(p), shape.length)
+            w = win.folded(h, p, size), win.folded(tx.mixed(h), p, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(tx.column(block, "rid"))[row]), pa.array((p - offsets[row]).astype(np.int32)), *[pa.array(x.view(np.int64)) for x in w]], ["rid", "at", "w0", "w1"])
+
+    return run
+
+
+_KINDS = "task int, before binary, n binary, content binary"
+
+
+def _kinds(shape: win.Shape, tasks: int):
+    """Distinct sides of a block by task, with the number of their places; contents are compressed together."""
+
     def run(batches):
-        for block in tx.blocks(win.inflated(batches, ("rid", "doc_id", "flags")), BLOCK):
-            flat, offsets, grams, a, lo, hi, rows, keys = _found(tx.column(block, "text"), shape)
-            hit = win.flagged(*keys, rows, tx.column(block, "flags").to_pylist())
-            a, lo, hi, rows = a[hit], lo[hit], hi[hit], rows[hit]
-            size = hi - lo + shape.length
+        import zstandard
+
+        pack, small = zstandard.ZstdCompressor(level=win.LEVEL).compress, win.narrow(shape)
+        for block in tx.blocks(win.inflated(batches, _NAMES), BLOCK):
+            flat, _, a, lo, size, _, keys, kind = _hit_sides(block, shape)
+            _, first, n = np.unique(kind, return_index=True, return_counts=True)
+            task = (keys[first] % np.uint64(tasks)).astype(np.int64)
+            order = np.lexsort((keys[first], task))
+            first, n, task = first[order], n[order], task[order]
+            size, lo, before = size[first], lo[first], (a - lo)[first].astype(small)
             ends = np.concatenate([[0], np.cumsum(size)])
-            at = np.arange(ends[-1]) - np.repeat(ends[:-1] - lo, size)
+            at = np.arange(int(ends[-1])) - np.repeat(ends[:-1] - lo, size)
             content = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.take(pa.array(at))), " ")
-            rid = np.asarray(tx.column(block, "rid"))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[rows]), pa.array((a - offsets[rows]).astype(np.int32)), pa.array(grams[a].view(np.int64) if len(a) else np.zeros(0, np.int64)), pa.array((a - lo).astype(np.int32)), content], ["rid", "at", "anchor", "before", "content"])
+            cuts = np.searchsorted(task, np.arange(tasks + 1))
+            out = []
+            for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                s = slice(cuts[k], cuts[k + 1])
+                out.append((int(k), before[s].tobytes(), pack(n[s].astype(np.uint32).tobytes()), pack("\n".join(content[s].to_pylist()).encode())))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), *[pa.binary()] * 3))], [x.split()[0] for x in _KINDS.split(", ")])
 
     return run
 
 
+def _unpacked(pdf: pd.DataFrame, shape: win.Shape):
+    """Kinds of a task, with places before the anchor, number of places, words (from 1 on) and where each kind's begin."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    before = np.frombuffer(b"".join(pdf["before"]), win.narrow(shape)).astype(np.int64)
+    n = np.frombuffer(b"".join(map(unpack, pdf["n"])), np.uint32).astype(np.int64)
+    flat, offsets = tx.words(pa.array([x for z in pdf["content"] for x in unpack(z).decode().split("\n")], pa.string()))
+    codes, distinct = tx.coded(flat)
+    kind = win.kind_of(win.folded(tx.hashed(distinct)[codes], offsets[:-1], np.diff(offsets)), before)
+    kind, first, group = np.unique(kind, return_index=True, return_inverse=True)
+    return kind, before[first], np.bincount(group, n, minlength=len(kind)), codes + 1, offsets[:-1][first], np.diff(offsets)[first]
+
+
 def prefix_groups(right: np.ndarray, budget: int, most: int = GRAM) -> list[tuple[np.ndarray, int]]:
     """(suffixes, words that they share) of each group, in the order of their prefixes.
 
@@ -143,12 +211,9 @@ def subtrees(right: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.nd
 
 def _repeats(shape: win.Shape, budget: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        flat, offsets = tx.words(pa.array(pdf["content"], pa.string()))
-        rank = tx.coded(flat)[0] + 1
-        before, n = pdf["before"].to_numpy(), len(pdf)
-        anchor, size = offsets[:-1] + before, np.diff(offsets)
-        right = np.zeros((n, shape.length), np.int64)
+        kind, before, times, rank, at, size = _unpacked(pdf, shape)
+        n, anchor = len(kind), at + before
+        right = np.zeros((n, shape.length), np.int32)
         left = np.zeros((n, max(1, shape.offsets - 1)), np.int64)
         for i in range(shape.length):
             ok = before + i < size
@@ -157,8 +222,8 @@ def _repeats(shape: win.Shape, budget: int):
             ok = before > i
             left[ok, i] = rank[anchor[ok] - i - 1]
         order, nodes = subtrees(right, budget)
-        pdf, before, left = pdf.iloc[order], before[order], left[order]
-        first, times = before - (size[order] - shape.length), pdf["n"].to_numpy()
+        kind, before, left, times = kind[order], before[order], left[order], times[order]
+        first = before - (size[order] - shape.length)
 
         def ids(r: int) -> np.ndarray:
             out = np.arange(n) + len(nodes)
@@ -174,23 +239,25 @@ def _repeats(shape: win.Shape, budget: int):
         step = np.diff(gone, axis=1)
         r, o0 = np.nonzero(step > 0)
         _, o1 = np.nonzero(step < 0)
-        return pd.DataFrame({"kind": pdf["kind"].to_numpy()[r], "o0": o0, "o1": o1 - 1})
+        return pd.DataFrame({"kind": kind[r], "o0": o0, "o1": o1 - 1})
 
     return run
 
 
-def spans(docs: DataFrame, texts: DataFrame, length: int = WINDOW, budget: int = BUDGET) -> DataFrame:
+def spans(docs: DataFrame, texts: DataFrame, length: int = WINDOW, budget: int = BUDGET, most: int = MOST) -> DataFrame:
     """(rid, spans: array of first word, end) of the words to remove; docs: rid, doc_id, text; texts: the same compressed."""
+    if length < GRAM:
+        raise ValueError(f"windows of under {GRAM} words have no anchor")
     shape = win.Shape(length, GRAM)
-    flags = tx.checkpoint(win.flags(docs, _keys(shape), False, BLOCK))
-    records = texts.join(flags, "rid").select("rid", "doc_id", "z", "flags").mapInArrow(_records(shape), "rid long, at int, anchor long, before int, content string")
-    kind = F.xxhash64("anchor", "before", "content")
-    kinds = records.groupBy("anchor", "before", "content").agg(F.count("*").alias("n"))
-    tasks = 4 * tx.shuffle_width(docs.sparkSession)
-    kinds = kinds.select(F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task"), kind.alias("kind"), "before", "content", "n")
-    found = kinds.groupBy("task").applyInPandas(_repeats(shape, budget), "kind long, o0 int, o1 int")
-    places = records.select("rid", "at", kind.alias("kind")).join(found, "kind")
+    flags, hot_flags = win.flags(docs, _keys(shape), False, BLOCK, most)
+    tasks = 2 * tx.shuffle_width(docs.sparkSession)
+    hit = texts.join(flags, "rid").select("z", *_NAMES)
+    found = hit.mapInArrow(_kinds(shape, tasks), _KINDS).groupBy("task").applyInPandas(_repeats(shape, budget), "kind long, o0 int, o1 int")
+    places = hit.mapInArrow(_places(shape), "rid long, at int, kind long").join(found, "kind")
     each = places.select("rid", F.struct((F.col("at") - F.col("o1")).alias("s"), (F.col("at") - F.col("o0") + length).alias("e")).alias("x"))
+    hot = texts.join(hot_flags, "rid").select("z", *_NAMES).mapInArrow(_hot_windows(shape), "rid long, at int, w0 long, w1 long")
+    again = hot.groupBy("w0", "w1").agg(F.count("*").alias("n")).where("n > 1")
+    each = each.unionByName(hot.join(again, ["w0", "w1"]).select("rid", F.struct(F.col("at").alias("s"), (F.col("at") + length).alias("e")).alias("x")))
     return each.groupBy("rid").agg(F.collect_set("x").alias("spans"))
 
 
@@ -214,21 +281,22 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(removed), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept.to_pylist()], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _joined(docs: DataFrame, length: int, budget: int) -> DataFrame:
+def _joined(docs: DataFrame, length: int, budget: int, most: int) -> DataFrame:
     docs = with_rid(docs)
     texts = win.compressed(docs)
-    return texts.join(spans(docs, texts, length, budget), "rid", "left").select("doc_id", "z", "spans")
+    return texts.join(spans(docs, texts, length, budget, most), "rid", "left").select("doc_id", "z", "spans")
 
 
-def digests(docs: DataFrame, length: int = WINDOW, budget: int = BUDGET) -> DataFrame:
+def digests(docs: DataFrame, length: int = WINDOW, budget: int = BUDGET, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    return _joined(docs, length, budget).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(docs, length, budget, most).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, length: int = WINDOW, budget: int = BUDGET) -> DataFrame:
+def remove(docs: DataFrame, length: int = WINDOW, budget: int = BUDGET, most: int = MOST) -> DataFrame:
     """(doc_id, kept): each row's remaining words, joined by one space."""
+
     def run(batches):
         for ids, _, _, kept in _kept(batches):
             yield pa.RecordBatch.from_arrays([ids, kept], ["doc_id", "kept"])
 
-    return _joined(docs, length, budget).mapInArrow(run, "doc_id long, kept string")
+    return _joined(docs, length, budget, most).mapInArrow(run, "doc_id long, kept string")

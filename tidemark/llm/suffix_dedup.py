@@ -1,11 +1,13 @@
 """Suffix-array removal of byte strings that smaller documents also hold.
 
-Records of repeated windows (see windows.py) with the same anchor meet in one task.
-There, the strings from the anchors on become one text of seven-byte symbols, whose
-suffix array (linear grouping, see suffix_sort.py) orders the records; common
-prefixes of neighbours cut the order into intervals of equal strings, and together
-with ranks of the bytes before the anchors into groups of equal windows. Each group
-has a least doc_id, and its windows are removed wherever the doc_id is larger.
+Sides of records of repeated windows (see windows.py) with the same half meet in one
+task. There, the distinct strings from the anchors on become one text of 24-byte
+symbols, whose suffix array (linear grouping, see suffix_sort.py) orders the sides;
+common prefixes of neighbours cut the order into intervals of equal strings, and
+together with ranks of the bytes before the anchors into groups of equal windows. Each
+group has a least doc_id, and its windows are removed wherever the doc_id is larger.
+Windows of a half that more than `most` rows have are grouped by 128 bits of hash in
+Spark instead.
 
 Null and empty texts have no bytes. A null doc_id is neither smaller nor larger than
 any: such rows stay whole and remove nothing. Rows that repeat, and rows of one
@@ -19,7 +21,6 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ from tidemark.llm.suffix_sort import suffix_array
 
 LENGTH = 50
 GRAM = 8
-SYMBOL = 7
-BLOCK = 3 << 20
+SYMBOL = 24  # bytes, a multiple of eight
+BLOCK = 6 << 20
+MOST = 100_000  # rows with one half that may meet in a task
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -42,14 +44,20 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eight bytes at each place as an integer (zeros beyond the end), and its hash."""
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Eight bytes at each place as an integer, zeros beyond the end."""
     x = np.zeros(len(data) + 8, np.uint64)
     x[: len(data)] = data
     for step in (1, 2, 4):
         x[:-step] |= x[step:] << np.uint64(8 * step)
-    x = x[: len(data)]
-    return x, tx.mixed(x)
+    return x[: len(data)]
+
+
+def _gram_hash(eights: np.ndarray) -> np.ndarray:
+    h = eights * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h
 
 
 def _half_hash(data: np.ndarray, eights: np.ndarray, half: int):
@@ -65,50 +73,65 @@ def _half_hash(data: np.ndarray, eights: np.ndarray, half: int):
 
 
 def _found(texts: pa.Array, shape: win.Shape):
+    """Bytes, row offsets, eights, and the sides of all records."""
     data, offsets = _bytes(texts)
-    eights, hashes = _grams(data)
-    a, lo, hi = win.records(hashes, offsets, shape)
+    eights = _eights(data)
+    a, lo, hi = win.records(_gram_hash(eights), offsets, shape)
     of = _half_hash(data, eights, shape.half)
-    keys = win.half_keys(of, of, a, lo, hi, shape)
-    rows = np.searchsorted(offsets, a, side="right") - 1
-    return data, offsets, hashes, a, lo, hi, rows, keys
+    return data, offsets, eights, win.sides(of, of, a, lo, hi, np.searchsorted(offsets, a, side="right") - 1, shape)
 
 
 def _keys(shape: win.Shape):
     def find(texts: pa.Array):
-        *_, rows, (r, l, need_r, need_l) = _found(texts, shape)
-        return np.concatenate([r[need_r], l[need_l]]), np.concatenate([rows[need_r], rows[need_l]])
+        *_, (_, _, _, rows, keys) = _found(texts, shape)
+        return keys, rows
 
     return find
 
 
-def _hit_records(block: pa.Table, shape: win.Shape):
-    """Rows, places, content from the first window's start to the last one's end, and kinds of the flagged records."""
-    data, offsets, hashes, a, lo, hi, rows, keys = _found(tx.column(block, "text"), shape)
-    hit = win.flagged(*keys, rows, tx.column(block, "flags").to_pylist())
-    a, lo, hi, rows = a[hit], lo[hit], hi[hit], rows[hit]
+def prints(eights: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of size bytes from lo on: of each eight of them, and the last eight."""
+    return tx.mixed(win.folded(eights, lo, size // 8, 8) ^ tx.mixed(eights[lo + size - 8] + size.astype(np.uint64)))
+
+
+def _hit_sides(block: pa.Table, shape: win.Shape):
+    """Bytes, offsets, eights and the sides of the block whose halves occur again, but not too often."""
+    data, offsets, eights, (a, lo, hi, rows, keys) = _found(tx.column(block, "text"), shape)
+    hit = win.flagged(keys, rows, tx.column(block, "flags").to_pylist())
+    hit[hit] = ~win.flagged(keys[hit], rows[hit], tx.column(block, "hot").to_pylist())
+    a, lo, hi, rows, keys = (x[hit] for x in (a, lo, hi, rows, keys))
     size = hi - lo + shape.length
-    ends = np.concatenate([[0], np.cumsum(size)])
-    flat = data[np.arange(ends[-1]) - np.repeat(ends[:-1] - lo, size)]
-    content = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-    codes, distinct = tx.coded(content)
-    before = a - lo
-    return rows, a - offsets[rows], before, hashes[a], content, kind_of(tx.hashed(distinct)[codes], before)
+    return data, offsets, a, lo, size, rows, keys, win.kind_of(prints(eights, lo, size), a - lo)
 
 
-def kind_of(print_: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Key of a record, from its content's hash and the anchor's place in it."""
-    return tx.mixed(print_ ^ (before + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+_NAMES = ("rid", "doc_id", "flags", "hot")
 
 
 def _places(shape: win.Shape):
-    """Where the records are: rid, doc_id, place of the anchor, kind."""
+    """Where the sides are: rid, doc_id, place of the anchor, kind."""
+
+    def run(batches):
+        for block in tx.blocks(win.inflated(batches, _NAMES), BLOCK):
+            _, offsets, a, _, _, rows, _, kind = _hit_sides(block, shape)
+            rid, doc = (np.asarray(tx.column(block, c)) for c in ("rid", "doc_id"))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[rows]), pa.array(doc[rows]), pa.array((a - offsets[rows]).astype(np.int32)), pa.array(kind)], ["rid", "doc_id", "at", "kind"])
+
+    return run
+
+
+def _hot_windows(shape: win.Shape):
+    """rid, doc_id, place and 128 bits of hash of each window of a half that occurs too often."""
 
     def run(batches):
-        for block in tx.blocks(win.inflated(batches, ("rid", "doc_id", "flags")), BLOCK):
-            rows, at, _, _, _, kind = _hit_records(block, shape)
+        for block in tx.blocks(win.inflated(batches, _NAMES), BLOCK):
+            _, offsets, eights, (_, lo, hi, rows, keys) = _found(tx.column(block, "text"), shape)
+            hot = win.flagged(keys, rows, tx.column(block, "hot").to_pylist())
+            lo, n, rows = lo[hot], (hi - lo + 1)[hot], rows[hot]
+            p = np.arange(int(n.sum())) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) if len(n) else np.zeros(0, np.int64)
+            row, size = np.repeat(rows, n), np.full(len(p), shape.length)
+            w = prints(eights, p, size), prints(tx.mixed(eights), p, size)
             rid, doc = (np.asarray(tx.column(block, c)) for c in ("rid", "doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[rows]), pa.array(doc[rows]), pa.array(at.astype(np.int32)), pa.array(kind)], ["rid", "doc_id", "at", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(doc[row]), pa.array((p - offsets[row]).astype(np.int32)), *[pa.array(x.view(np.int64)) for x in w]], ["rid", "doc_id", "at", "w0", "w1"])
 
     return run
 
@@ -117,55 +140,53 @@ _KINDS = "task int, before binary, least binary, further binary, size binary, co
 
 
 def _kinds(shape: win.Shape, tasks: int):
-    """Distinct records of a block by task, with their least and largest doc_id; contents are compressed together."""
+    """Distinct sides of a block by task, with their least and largest doc_id; contents are compressed together."""
 
     def run(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for block in tx.blocks(win.inflated(batches, ("rid", "doc_id", "flags")), BLOCK):
-            rows, _, before, anchor, content, kind = _hit_records(block, shape)
+        pack, small = zstandard.ZstdCompressor(level=win.LEVEL).compress, win.narrow(shape)
+        for block in tx.blocks(win.inflated(batches, _NAMES), BLOCK):
+            data, _, a, lo, size, rows, keys, kind = _hit_sides(block, shape)
             doc = np.asarray(tx.column(block, "doc_id"))[rows]
             _, first, group = np.unique(kind, return_index=True, return_inverse=True)
             least, most = np.full(len(first), NO_ID), np.full(len(first), -(1 << 62))
             np.minimum.at(least, group, doc)
             known = doc < NO_ID
             np.maximum.at(most, group[known], doc[known])
-            task = (anchor[first] % np.uint64(tasks)).astype(np.int64)
-            order = np.lexsort((anchor[first], task))
+            task = (keys[first] % np.uint64(tasks)).astype(np.int64)
+            order = np.lexsort((keys[first], task))
             first, least, most, task = first[order], least[order], most[order], task[order]
+            size, lo, before = size[first], lo[first], (a - lo)[first].astype(small)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            flat = data[np.arange(int(ends[-1])) - np.repeat(ends[:-1] - lo, size)]
             cuts = np.searchsorted(task, np.arange(tasks + 1))
-            data = []
+            out = []
             for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
                 s = slice(cuts[k], cuts[k + 1])
-                own = content.take(pa.array(first[s]))
-                size = np.asarray(pc.binary_length(own)).astype(np.uint8)
-                data.append((int(k), before[first[s]].astype(np.uint8).tobytes(), pack(least[s].tobytes()), pack((most[s] - least[s]).tobytes()), size.tobytes(), pack(b"".join(own.to_pylist()))))
-            cols = list(zip(*data)) or [()] * 6
+                out.append((int(k), before[s].tobytes(), pack(least[s].tobytes()), pack((most[s] - least[s]).tobytes()), size[s].astype(small).tobytes(), pack(flat[ends[cuts[k]] : ends[cuts[k + 1]]].tobytes())))
+            cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), *[pa.binary()] * 5))], [x.split()[0] for x in _KINDS.split(", ")])
 
     return run
 
 
-def _unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
+def _unpacked(pdf: pd.DataFrame, shape: win.Shape) -> pd.DataFrame:
     """One row for each kind of a task."""
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    content: list[bytes] = []
-    for size, z in zip(pdf["size"], pdf["content"]):
-        ends = np.cumsum(np.frombuffer(size, np.uint8), dtype=np.int64).tolist()
-        raw = unpack(z)
-        content += [raw[s:e] for s, e in zip([0, *ends[:-1]], ends)]
+    unpack, small = zstandard.ZstdDecompressor().decompress, win.narrow(shape)
+    size, before = (np.frombuffer(b"".join(pdf[c]), small).astype(np.int64) for c in ("size", "before"))
+    raw = b"".join(map(unpack, pdf["content"]))
     least, further = (np.frombuffer(b"".join(map(unpack, pdf[c])), np.int64) for c in ("least", "further"))
-    most = least + further
-    before = np.frombuffer(b"".join(pdf["before"]), np.uint8).astype(np.int64)
-    kind = kind_of(tx.hashed(pa.array(content, pa.binary())), before)
+    most, ends = least + further, np.concatenate([[0], np.cumsum(size)])
+    kind = win.kind_of(prints(_eights(np.frombuffer(raw, np.uint8)), ends[:-1], size), before)
     u, first, group = np.unique(kind, return_index=True, return_inverse=True)
     low, high = np.full(len(u), NO_ID), np.full(len(u), -(1 << 62))
     np.minimum.at(low, group, least)
     np.maximum.at(high, group, most)
-    return pd.DataFrame({"kind": u, "before": before[first], "content": [content[i] for i in first], "least": low, "most": high})
+    content = [raw[s:e] for s, e in zip(ends[first].tolist(), ends[first + 1].tolist())]
+    return pd.DataFrame({"kind": u, "before": before[first], "content": content, "least": low, "most": high})
 
 
 def _padded(parts: list[bytes], width: int) -> np.ndarray:
@@ -173,31 +194,45 @@ def _padded(parts: list[bytes], width: int) -> np.ndarray:
 
 
 def ordered(rights: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the strings by the suffix array of their text, and common prefixes with the one before."""
-    n_symbols = (width + SYMBOL - 1) // SYMBOL
-    size = np.array([len(x) for x in rights])
-    raw = np.zeros((len(rights), n_symbols * SYMBOL), np.uint8)
-    raw[:, :width] = _padded(rights, width)
-    wide = np.zeros((len(rights), n_symbols, 8), np.uint8)
-    wide[:, :, :SYMBOL] = raw.reshape(len(rights), n_symbols, SYMBOL)
-    wide[:, :, SYMBOL] = np.clip(size[:, None] - np.arange(n_symbols) * SYMBOL, 0, SYMBOL) + 1
-    symbols = np.where(wide[:, :, SYMBOL] > 1, wide.view(">u8")[:, :, 0].astype(np.uint64), np.uint64(0))
-    used = (size + SYMBOL - 1) // SYMBOL
-    keep = np.arange(n_symbols + 1) <= used[:, None]
-    text = np.concatenate([symbols, np.zeros((len(rights), 1), np.uint64)], axis=1)
-    starts = np.concatenate([[0], np.cumsum(used + 1)])
+    """Order of the strings by the suffix array of the distinct ones' text, and common prefixes with the one before."""
+    code, distinct = pd.factorize(np.array([*rights, None], dtype=object)[:-1])
+    n, n_symbols = len(distinct), (width + SYMBOL - 1) // SYMBOL
+    size = np.array([len(x) for x in distinct])
+    raw = np.zeros((n, n_symbols * SYMBOL), np.uint8)
+    raw[:, :width] = _padded(list(distinct), width)
+    eights = raw.view(">u8").astype(np.uint64).reshape(n, n_symbols, -1)
+    used = np.clip(size[:, None] - np.arange(n_symbols) * SYMBOL, 0, SYMBOL)
+    there = used > 0
+    # ranks of the symbols: by their bytes, then by their number
+    keys = [used[there], *[eights[:, :, i][there] for i in range(SYMBOL // 8 - 1, -1, -1)]]
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) + 1
+    text = np.zeros((n, n_symbols + 1), np.int64)
+    text[:, :-1][there] = rank
+    count = there.sum(axis=1)
+    starts = np.concatenate([[0], np.cumsum(count + 1)])
     place = np.full(int(starts[-1]), -1)
-    place[starts[:-1]] = np.arange(len(rights))
-    order = place[suffix_array(text[keep])]
+    place[starts[:-1]] = np.arange(n)
+    order = place[suffix_array(text[np.arange(n_symbols + 1) <= count[:, None]])]
     order = order[order >= 0]
-    same = raw[order[1:], :width] == raw[order[:-1], :width]
-    lcp = np.where(same.all(axis=1), width, same.argmin(axis=1)) if len(order) > 1 else np.zeros(0, np.int64)
-    return order, np.concatenate([[0], np.minimum(lcp, np.minimum(size[order[1:]], size[order[:-1]]))]).astype(np.int64)
+    same = raw[order[1:]] == raw[order[:-1]]
+    lcp = np.where(same.all(axis=1), width, same.argmin(axis=1)) if n > 1 else np.zeros(0, np.int64)
+    lcp = np.concatenate([[0], np.minimum(lcp, np.minimum(size[order[1:]], size[order[:-1]]))]).astype(np.int64)
+    where = np.empty(n, np.int64)
+    where[order] = np.arange(n)
+    out = np.argsort(where[code], kind="stable")
+    own = where[code[out]]
+    again = np.concatenate([[False], own[1:] == own[:-1]])
+    return out, np.where(again, size[code[out]], lcp[own])
 
 
 def _least(shape: win.Shape):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _unpacked(pdf)
+        pdf = _unpacked(pdf, shape)
         before, content = pdf["before"].to_numpy(), pdf["content"].tolist()
         order, lcp = ordered([c[b:] for c, b in zip(content, before)], shape.length)
         pdf = pdf.iloc[order].reset_index(drop=True)
@@ -221,16 +256,21 @@ def _least(shape: win.Shape):
     return run
 
 
-def spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """(rid, spans: array of start, end) of the bytes to remove; docs: rid, doc_id (NO_ID for none), text; texts: the same compressed."""
+    if length < GRAM:
+        raise ValueError(f"strings of under {GRAM} bytes have no anchor")
     shape = win.Shape(length, GRAM)
-    flags = tx.checkpoint(win.flags(docs, _keys(shape), True, BLOCK))
+    flags, hot_flags = win.flags(docs, _keys(shape), True, BLOCK, most)
     tasks = 2 * tx.shuffle_width(docs.sparkSession)
-    hit = texts.join(flags, "rid").select("rid", "doc_id", "z", "flags")
+    hit = texts.join(flags, "rid").select("z", *_NAMES)
     found = hit.mapInArrow(_kinds(shape, tasks), _KINDS).groupBy("task").applyInPandas(_least(shape), "kind long, o0 int, o1 int, least long")
     places = hit.mapInArrow(_places(shape), "rid long, doc_id long, at int, kind long").join(found, "kind")
-    places = places.where((F.col("doc_id") > F.col("least")) & (F.col("doc_id") < int(NO_ID)))
-    each = places.select("rid", F.struct((F.col("at") - F.col("o1")).alias("s"), (F.col("at") - F.col("o0") + length).alias("e")).alias("x"))
+    larger = (F.col("doc_id") > F.col("least")) & (F.col("doc_id") < int(NO_ID))
+    each = places.where(larger).select("rid", F.struct((F.col("at") - F.col("o1")).alias("s"), (F.col("at") - F.col("o0") + length).alias("e")).alias("x"))
+    hot = texts.join(hot_flags, "rid").select("z", *_NAMES).mapInArrow(_hot_windows(shape), "rid long, doc_id long, at int, w0 long, w1 long")
+    least = hot.groupBy("w0", "w1").agg(F.min("doc_id").alias("least"))
+    each = each.unionByName(hot.join(least, ["w0", "w1"]).where(larger).select("rid", F.struct(F.col("at").alias("s"), (F.col("at") + length).alias("e")).alias("x")))
     return each.groupBy("rid").agg(F.collect_set("x").alias("spans"))
 
 
@@ -254,13 +294,13 @@ def _kept(frames):
             yield None if doc_id == NO_ID else doc_id, len(data), runs, b"".join([*left, data[done:]])
 
 
-def _joined(docs: DataFrame, length: int) -> DataFrame:
+def _joined(docs: DataFrame, length: int, most: int) -> DataFrame:
     docs = with_rid(docs)
     texts = win.compressed(docs)
-    return texts.join(spans(docs, texts, length), "rid", "left").select("doc_id", "z", "spans")
+    return texts.join(spans(docs, texts, length, most), "rid", "left").select("doc_id", "z", "spans")
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
 
     def run(frames):
@@ -268,14 +308,14 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = [(d, n, sum(e - s for s, e in runs), len(runs), hashlib.sha256(left).hexdigest()) for d, n, runs, left in _kept([pdf])]
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    return _joined(docs, length).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _joined(docs, length, most).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """(doc_id, kept binary): what is left of each row's bytes."""
 
     def run(frames):
         for pdf in frames:
             yield pd.DataFrame([(d, left) for d, _, _, left in _kept([pdf])], columns=["doc_id", "kept"]).astype({"doc_id": "Int64"})
 
-    return _joined(docs, length).mapInPandas(run, "doc_id long, kept binary")
+    return _joined(docs, length, most).mapInPandas(run, "doc_id long, kept binary")

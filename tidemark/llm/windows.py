@@ -2,12 +2,16 @@
 
 Each window is kept with its anchor: the k-gram of least hash in it (the leftmost of
 equals), which two equal windows share at the same place. Consecutive windows with
-one anchor form a record. A window of length L reaches at least half of L to one side
-of its anchor, so a record whose needed halves both occur nowhere else can't repeat;
-`flags` finds, over ranges of hashes, the halves that do occur again, and only their
-records are sent on, with equal ones summed up before they move. Windows of two
-records are equal if they agree to the right of the anchor, which the sorted
-suffixes at the anchors tell, and to the left of it, which ranks of the left sides tell.
+one anchor form a record. A window of length L holds half of L on one side of its anchor,
+so a record has two sides, the windows with a half from the anchor on and those with a
+half before it, and equal windows share that half. `flags` counts the halves over
+ranges of hashes. Sides whose half occurs nowhere else can't repeat and stay where they
+are. The others are dealt out by their half, equal ones summed up before they move.
+Windows of two sides are equal if they agree to the right of the anchor, which the
+sorted suffixes at the anchors tell, and to the left of it, which ranks of the left
+parts tell. A half that occurs more than a given number of times would fill a task: its
+prefix grows to the whole window, so that counts by window, which Spark adds up
+partially, take the place of a tree.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
-from tidemark.llm.ngram_join import from_planes, planes
+from tidemark.llm.ngram_join import from_planes, low_bits, planes, range_bounds
 
 CHUNK = 1 << 19
+LEVEL = 6  # of Zstandard: of texts and contents that move
 
 
 @dataclass(frozen=True)
@@ -86,18 +91,18 @@ def records(grams: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.nd
     return a, lo, hi
 
 
-def half_keys(right, left, anchors: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the right and left halves, and whether each record needs them."""
-    need_right = anchors - hi <= shape.length - shape.half
-    need_left = anchors - lo > shape.length - shape.half
-    r, l = np.zeros(len(anchors), np.uint64), np.zeros(len(anchors), np.uint64)
-    r[need_right] = right(anchors[need_right])
-    l[need_left] = left(anchors[need_left] - shape.half)
-    return r, l, need_right, need_left
+def sides(right, left, anchors: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+    """(anchor, first window, last window, row, key) of the records' two sides.
 
-
-def low_bits(keys: np.ndarray) -> np.ndarray:
-    return ((keys >> np.uint64(26)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    Windows that hold a half from the anchor on are of the right side, the others hold
+    a half before it: a side's windows share that half, whose hash is its key.
+    """
+    most = shape.length - shape.half
+    r, l = np.flatnonzero(anchors - hi <= most), np.flatnonzero(anchors - lo > most)
+    a = np.concatenate([anchors[r], anchors[l]])
+    first = np.concatenate([np.maximum(lo[r], anchors[r] - most), lo[l]])
+    last = np.concatenate([hi[r], np.minimum(hi[l], anchors[l] - most - 1)])
+    return a, first, last, np.concatenate([rows[r], rows[l]]), np.concatenate([right(anchors[r]), left(anchors[l] - shape.half)])
 
 
 def _pack(find, parts: int, once_a_row: bool, max_bytes: int):
@@ -111,7 +116,7 @@ def _pack(find, parts: int, once_a_row: bool, max_bytes: int):
                 new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])
                 keys, rows = keys[new], rows[new]
             rids = np.asarray(tx.column(block, "rid")).astype(np.int64).tobytes()
-            cuts = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+            cuts = np.searchsorted(keys >> np.uint64(32), range_bounds(parts))
             low, own = low_bits(keys), block_no % parts
             data = [(block_no, p, planes(low[s:e]), rows[s:e].astype(np.uint16).tobytes(), rids if p == own else None) for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if s < e or p == own]
             block_no += 1
@@ -120,39 +125,50 @@ def _pack(find, parts: int, once_a_row: bool, max_bytes: int):
     return run
 
 
-def _again(pdf: pd.DataFrame) -> pd.DataFrame:
-    hs = [from_planes(x, np.uint32) for x in pdf["h"]]
-    h = np.concatenate(hs)
-    s = np.sort(h)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    rows, keys = [], []
-    for x, d in zip(hs, pdf["d"]):
-        at = np.minimum(np.searchsorted(twice, x), max(0, len(twice) - 1))
-        hit = twice[at] == x if len(twice) else np.zeros(len(x), bool)
-        rows.append(np.frombuffer(d, np.uint16)[hit].tobytes())
-        keys.append(x[hit].tobytes())
-    return pd.DataFrame({"block": pdf["block"], "rids": pdf["rids"], "rows": rows, "keys": keys})
+def _again(most: int):
+    """The keys of a range that occur twice or more, and those of them that occur more than `most` times."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hs = [from_planes(x, np.uint32) for x in pdf["h"]]
+        u, n = np.unique(np.concatenate(hs), return_counts=True)
+        twice, times = u[n > 1], n[n > 1]
+        out = {k: [] for k in ("rows", "keys", "hot_rows", "hot_keys")}
+        for x, d in zip(hs, pdf["d"]):
+            d = np.frombuffer(d, np.uint16)
+            at = np.minimum(np.searchsorted(twice, x), max(0, len(twice) - 1))
+            hit = np.flatnonzero(twice[at] == x) if len(twice) else np.zeros(0, np.int64)
+            hot = hit[times[at[hit]] > most]
+            for k, v in zip(out, (d[hit], x[hit], d[hot], x[hot])):
+                out[k].append(v.tobytes())
+        return pd.DataFrame({"block": pdf["block"], "rids": pdf["rids"], **out})
 
-def _by_row(pdf: pd.DataFrame) -> pd.DataFrame:
-    rids = np.frombuffer(pdf.loc[pdf["rids"].notna(), "rids"].iloc[0], np.int64)
-    rows = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["rows"]])
-    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["keys"]])
+    return run
+
+
+def _listed(rows, keys) -> dict[int, bytes]:
+    rows = np.concatenate([np.frombuffer(x, np.uint16) for x in rows])
+    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in keys])
     order = np.argsort(rows, kind="stable")
     rows, keys = rows[order], keys[order]
     own = np.unique(rows)
-    cuts = np.searchsorted(rows, own)
-    return pd.DataFrame({"rid": rids[own], "flags": [x.tobytes() for x in np.split(keys, cuts[1:])] if len(own) else []})
+    return dict(zip(own.tolist(), [x.tobytes() for x in np.split(keys, np.searchsorted(rows, own)[1:])])) if len(own) else {}
 
 
-def flags(docs: DataFrame, find, once_a_row: bool, max_bytes: int) -> DataFrame:
-    """(rid, flags) of the rows that have halves which occur again. find: texts -> (keys, rows)."""
+def _by_row(pdf: pd.DataFrame) -> pd.DataFrame:
+    rids = np.frombuffer(pdf.loc[pdf["rids"].notna(), "rids"].iloc[0], np.int64)
+    found, hot = _listed(pdf["rows"], pdf["keys"]), _listed(pdf["hot_rows"], pdf["hot_keys"])
+    return pd.DataFrame({"rid": rids[list(found)], "flags": list(found.values()), "hot": [hot.get(i) for i in found]})
+
+
+def flags(docs: DataFrame, find, once_a_row: bool, max_bytes: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, flags, hot) of the rows that have halves which occur again, and those of them with a hot one: one that occurs more than `most` times. find: texts -> (keys, rows)."""
     parts = min(tx.shuffle_width(docs.sparkSession), 1 << 16)
     packed = docs.select("rid", "text").mapInArrow(_pack(find, parts, once_a_row, max_bytes), "block long, part int, h binary, d binary, rids binary")
-    counted = packed.groupBy("part").applyInPandas(_again, "block long, rids binary, rows binary, keys binary")
-    found = counted.groupBy("block").applyInPandas(_by_row, "rid long, flags binary")
+    counted = packed.groupBy("part").applyInPandas(_again(most), "block long, rids binary, rows binary, keys binary, hot_rows binary, hot_keys binary")
+    found = tx.checkpoint(counted.groupBy("block").applyInPandas(_by_row, "rid long, flags binary, hot binary"))
     # a half's key decides alone, so rows that repeat have equal flags
-    return found.groupBy("rid").agg(F.first("flags").alias("flags"))
+    once = lambda rows: rows.groupBy("rid").agg(F.first("flags").alias("flags"), F.first("hot").alias("hot"))
+    return once(found), once(found.where("hot is not null"))
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -161,7 +177,7 @@ def compressed(docs: DataFrame) -> DataFrame:
     def run(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
@@ -184,18 +200,35 @@ def inflated(batches, rest: tuple[str, ...], rows: int = 500):
             yield pa.RecordBatch.from_arrays([*cols.values(), texts], [*cols, "text"])
 
 
-def flagged(r: np.ndarray, l: np.ndarray, need_r: np.ndarray, need_l: np.ndarray, rows: np.ndarray, flag_lists: list[bytes]) -> np.ndarray:
-    """Which records have a needed half among their row's flags."""
-    sizes = [len(f) // 4 for f in flag_lists]
-    own = np.concatenate([np.frombuffer(f, np.uint32) for f in flag_lists]).astype(np.uint64) if flag_lists else np.zeros(0, np.uint64)
+def flagged(keys: np.ndarray, rows: np.ndarray, flag_lists: list[bytes | None]) -> np.ndarray:
+    """Which sides have a key among their row's flags."""
+    sizes = [len(f or b"") // 4 for f in flag_lists]
+    own = np.frombuffer(b"".join(f or b"" for f in flag_lists), np.uint32).astype(np.uint64)
+    if not len(own):
+        return np.zeros(len(keys), bool)
     own = np.sort(own | (np.repeat(np.arange(len(flag_lists)), sizes).astype(np.uint64) << np.uint64(32)))
+    x = low_bits(keys).astype(np.uint64) | (rows.astype(np.uint64) << np.uint64(32))
+    return own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
+
+
+def folded(values: np.ndarray, lo: np.ndarray, size: np.ndarray, step: int = 1) -> np.ndarray:
+    """Hash of values[lo], values[lo + step], ... (size of them) for each run; equal runs have equal hashes."""
+    h = size.astype(np.uint64)
+    for k in range(int(size.max()) if len(size) else 0):
+        on = slice(None) if (full := size > k).all() else np.flatnonzero(full)
+        x = (h[on] ^ values[lo[on] + k * step]) * np.uint64(0xD6E8FEB86659FD93)
+        h[on] = x ^ (x >> np.uint64(32))
+    return tx.mixed(h)
+
+
+def kind_of(prints: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Key of a side, from its content's hash and the anchor's place in it."""
+    return tx.mixed(prints ^ (before + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-    def among(keys):
-        x = low_bits(keys).astype(np.uint64) | (rows.astype(np.uint64) << np.uint64(32))
-        at = np.minimum(np.searchsorted(own, x), max(0, len(own) - 1))
-        return own[at] == x if len(own) else np.zeros(len(x), bool)
 
-    return (need_r & among(r)) | (need_l & among(l))
+def narrow(shape: Shape) -> type:
+    """The integers that hold the length of a side's content, which is under two windows."""
+    return np.uint8 if 2 * shape.length <= 256 else np.uint32
 
 
 def groups_by_offset(shape: Shape, right_ids, left: np.ndarray, first: np.ndarray, last: np.ndarray):
