@@ -39,7 +39,7 @@ def test_twin(spark, sf, duck, name):
     assert got or name in ("cutoff_grid", "theta_cutoffs")
 
 
-@pytest.mark.parametrize("name", ["baseline_forecast", "garch_fit", "walk_forward", "recursive_forecast", "forecast_intervals", "topk_ema", "pacf_lags"])
+@pytest.mark.parametrize("name", ["baseline_forecast", "garch_fit", "walk_forward", "recursive_forecast", "forecast_intervals", "chosen_features", "pacf_lags"])
 def test_models_give_rows_without_nan(spark, sf, name):
     rows = catalog.queries()[name](spark, sf).collect()
     assert rows or name == "walk_forward"

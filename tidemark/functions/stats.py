@@ -11,11 +11,10 @@ from tidemark.functions.windows import order, position_from_end
 
 
 def posterior(scores: DataFrame, temperature: float, score: str = "acc") -> DataFrame:
-    """scores with a posterior: their softmax at a temperature."""
-    top = scores.agg(F.max(score).alias("_top"))
-    raised = scores.crossJoin(F.broadcast(top)).withColumn("_e", F.exp((F.col(score) - F.col("_top")) / temperature))
-    total = raised.agg(F.sum("_e").alias("_sum"))
-    return raised.crossJoin(F.broadcast(total)).withColumn("posterior", F.col("_e") / F.col("_sum")).drop("_e", "_top", "_sum")
+    """scores with a posterior: their softmax at a temperature, among the candidates of a series (of all rows without series_id)."""
+    by = Window.partitionBy("series_id" if "series_id" in scores.columns else F.lit(0))
+    raised = scores.withColumn("_e", F.exp((F.col(score) - F.max(score).over(by)) / temperature))
+    return raised.withColumn("posterior", F.col("_e") / F.sum("_e").over(by)).drop("_e")
 
 
 def logistic(price: Column, last: Column, spread: Column) -> Column:

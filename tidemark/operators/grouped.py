@@ -145,19 +145,49 @@ class Recursion:
             del xs[: -self.keep]
 
 
-def forecast(df: DataFrame, features=DEFAULT, horizon: int = 90, test_rows: int = 90, rounds: int = ROUNDS, feedback: str = "predicted") -> DataFrame:
-    """series_id, h, date, baseline, residual, price, sigma for each future day.
+def _with_choice(df: DataFrame, features, chosen: DataFrame | None) -> DataFrame:
+    """Rows with all features, and the names of those that the series uses: chosen (series_id, features), else all."""
+    rows = w.build(df, features, drop=False)
+    return rows.withColumn("_used", F.array(*[F.lit(f.name) for f in features])) if chosen is None else rows.join(chosen.select("series_id", F.col("features").alias("_used")), "series_id")
+
+
+def _used(pdf: pd.DataFrame, features) -> tuple[pd.DataFrame, list]:
+    """Complete rows in date order, and the features in use."""
+    names = set(pdf["_used"].iloc[0])
+    own = [f for f in features if f.name in names]
+    columns = ["series_id", "date", "close", "volume", "ret", "log_close", *[f.name for f in own]]
+    return pdf[columns].dropna().sort_values("date").reset_index(drop=True), own
+
+
+def evaluate(df: DataFrame, features=DEFAULT, test_rows: int = 90, rounds: int = ROUNDS, chosen: DataFrame | None = None) -> DataFrame:
+    """series_id, hits, n, acc, mse of the last test_rows, learned from the rows before: directions that agree, and squared errors of the logarithm."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, own = _used(pdf, features)
+        if len(pdf) < test_rows + 60:
+            return pd.DataFrame({c: [] for c in ("series_id", "hits", "n", "acc", "mse")})
+        test = np.arange(len(pdf)) >= len(pdf) - test_rows
+        base, more, _, _ = fit_predict(pdf, [f.name for f in own], test, rounds)
+        y, p = pdf["log_close"].to_numpy(float)[test], (base + more)[test]
+        same = (np.diff(y) > 0) == (np.diff(p) > 0)
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "hits": [int(same.sum())], "n": [len(same)], "acc": [float(same.mean())], "mse": [float(np.square(y - p).mean())]})
+
+    return _with_choice(df, features, chosen).groupBy("series_id").applyInPandas(run, "series_id string, hits long, n long, acc double, mse double")
+
+
+def forecast(df: DataFrame, features=DEFAULT, horizon: int = 90, test_rows: int = 90, rounds: int = ROUNDS, feedback: str = "predicted", chosen: DataFrame | None = None) -> DataFrame:
+    """series_id, h, date, baseline, residual, price, sigma for each future day; chosen: (series_id, features) names that a series uses.
 
     feedback tells what a step leaves behind for the next one: `predicted` its own
     price and return, `repeat` the last row again (with its return), `flat` the last
     close with no return.
     """
-    names = [f.name for f in features]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
+        pdf, own = _used(pdf, features)
         if len(pdf) < test_rows + 60:
             return pd.DataFrame({c: [] for c in ("series_id", "h", "date", "baseline", "residual", "price", "sigma")})
+        names = [f.name for f in own]
         test = np.arange(len(pdf)) >= len(pdf) - test_rows
         base, more, trend, trees = fit_predict(pdf, names, test, rounds)
         left = (pdf["log_close"].to_numpy(float) - base - more)[~test]
@@ -165,7 +195,7 @@ def forecast(df: DataFrame, features=DEFAULT, horizon: int = 90, test_rows: int
         last = pd.Timestamp(pdf["date"].iloc[-1])
         dates = pd.date_range(last + pd.Timedelta(days=1), periods=horizon)
         ahead = trend.predict(_days(dates))
-        state, prices, residuals = Recursion(pdf, features), [], []
+        state, prices, residuals = Recursion(pdf, own), [], []
         for h in range(horizon):
             r = float(trees.predict(np.array([state.row()]))[0])
             price = float(np.exp(ahead[h] + r))
@@ -179,7 +209,7 @@ def forecast(df: DataFrame, features=DEFAULT, horizon: int = 90, test_rows: int
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "h": np.arange(1, horizon + 1), "date": dates.date, "baseline": np.exp(ahead), "residual": residuals, "price": prices, "sigma": sigma})
 
     schema = "series_id string, h long, date date, baseline double, residual double, price double, sigma double"
-    return w.build(df, features).groupBy("series_id").applyInPandas(run, schema)
+    return _with_choice(df, features, chosen).groupBy("series_id").applyInPandas(run, schema)
 
 
 def baseline(df: DataFrame, horizon: int = 90) -> DataFrame:

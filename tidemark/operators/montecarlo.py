@@ -20,26 +20,26 @@ def draw_key(seed: int) -> Column:
 
 
 def runs(path: DataFrame, n: int) -> DataFrame:
-    """Each step of a forecast (h, ...) for every run."""
+    """Each step of a forecast (series_id, h, ...) for every run."""
     return path.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
 def gaussian(path: DataFrame, n: int, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """h, mc_mean, mc_low, mc_high of exp(log_price + z * sigma), steps drawn independently."""
+    """series_id, h, mc_mean, mc_low, mc_high of exp(log_price + z * sigma); steps are drawn independently, series share draws."""
     price = F.exp(F.col("log_price") + normal(draw_key(seed)) * F.col("sigma"))
     return interval(runs(path, n).withColumn("price", price), low, high)
 
 
 def bootstrap(path: DataFrame, residuals: DataFrame, n: int, seed: int = 42, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """The same with residuals (r) drawn with replacement; path and residuals are per day, residuals numbered in date order."""
-    numbered = residuals.select((F.row_number().over(Window.partitionBy("series_id").orderBy("date")).cast("long") - 1).alias("i"), "r")
-    size = residuals.agg(F.count("*").alias("n_res"))
-    drawn = runs(path, n).crossJoin(F.broadcast(size)).withColumn("i", F.floor(uniform(draw_key(seed), 0) * F.col("n_res")).cast("long"))
-    return interval(drawn.join(numbered, "i").withColumn("price", F.exp(F.col("log_price") + F.col("r"))), low, high)
+    """The same with residuals (r) of the series drawn with replacement; they are numbered in date order."""
+    numbered = residuals.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("date")).cast("long") - 1).alias("i"), "r")
+    size = residuals.groupBy("series_id").agg(F.count("*").alias("n_res"))
+    drawn = runs(path.join(size, "series_id"), n).withColumn("i", F.floor(uniform(draw_key(seed), 0) * F.col("n_res")).cast("long"))
+    return interval(drawn.join(numbered, ["series_id", "i"]).withColumn("price", F.exp(F.col("log_price") + F.col("r"))), low, high)
 
 
 def interval(draws: DataFrame, low: float, high: float) -> DataFrame:
-    return draws.groupBy("h").agg(F.avg("price").alias("mc_mean"), F.percentile("price", [low, high]).alias("q")).select("h", "mc_mean", F.col("q")[0].alias("mc_low"), F.col("q")[1].alias("mc_high"))
+    return draws.groupBy("series_id", "h").agg(F.avg("price").alias("mc_mean"), F.percentile("price", [low, high]).alias("q")).select("series_id", "h", "mc_mean", F.col("q")[0].alias("mc_low"), F.col("q")[1].alias("mc_high"))
 
 
 def lognormal(price: str, sd: Column) -> tuple[Column, Column]:

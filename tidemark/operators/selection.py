@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as w
-from tidemark.functions.stats import safe_corr
+from tidemark.functions.stats import partial_autocorrelations, safe_corr, significant_lags
 
 #: Candidate rows of rolling windows and spans of averages.
 ROLLING = (3, 5, 7, 14, 21, 30, 60)
@@ -45,13 +45,33 @@ def top(scores: DataFrame, k: int = 3) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 
 
+def _of_series(scores: DataFrame):
+    return Window.partitionBy("series_id" if "series_id" in scores.columns else F.lit(0))
+
+
 def weighted_score(scores: DataFrame) -> DataFrame:
-    """scores (acc, mae, days) with score = 0.6 acc + 0.2 (1 - mae / max mae) + 0.2 days / max days."""
-    most = scores.agg(F.max("mae").alias("_mae"), F.max("days").alias("_days"))
-    out = scores.crossJoin(F.broadcast(most))
-    score = 0.6 * F.col("acc") + 0.2 * (1 - F.try_divide("mae", "_mae")) + 0.2 * F.try_divide("days", "_days")
-    return out.withColumn("score", score).drop("_mae", "_days")
+    """scores (acc, mae, days) with score = 0.6 acc + 0.2 (1 - mae / max mae) + 0.2 days / max days, the largest of each series."""
+    by = _of_series(scores)
+    score = 0.6 * F.col("acc") + 0.2 * (1 - F.try_divide(F.col("mae"), F.max("mae").over(by))) + 0.2 * F.try_divide(F.col("days"), F.max("days").over(by))
+    return scores.withColumn("score", score)
 
 
 def first_best(scores: DataFrame, score: str, order: str) -> DataFrame:
-    return scores.orderBy(F.desc(score), order).limit(1)
+    """The best row of each series (of all rows without series_id); of equals the first in order."""
+    by = _of_series(scores).orderBy(F.desc(score), order)
+    return scores.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
+
+
+def candidates(max_lag: int) -> list[w.Feature]:
+    """All features that a choice can name."""
+    windows = [w.Feature(k, n) for n in ROLLING for k in ("mean", "std", "vol")]
+    return [w.Feature("lag", i) for i in range(1, max_lag + 1)] + windows + [w.Feature(k, n) for k in ("ema", "sma") for n in AVERAGES]
+
+
+def choose(train: DataFrame, max_lag: int, k: int = 3) -> DataFrame:
+    """series_id, features: names of the significant lags, and of the k best windows and averages of either kind."""
+    lags = significant_lags(partial_autocorrelations(w.with_returns(train), "ret", max_lag)).select("series_id", F.concat(F.lit("lag_ret_"), "lag").alias("name"))
+    windows = top(score_windows(train), k).select("series_id", F.explode(F.array(*[F.concat(F.lit(p), "n") for p in ("roll_mean_ret_", "roll_std_ret_", "roll_vol_")])).alias("name"))
+    averages = [top(score_averages(train, kind), k).select("series_id", F.concat(F.lit(f"{kind}_"), "n").alias("name")) for kind in ("ema", "sma")]
+    names = lags.unionByName(windows).unionByName(averages[0]).unionByName(averages[1])
+    return names.groupBy("series_id").agg(F.array_sort(F.collect_set("name")).alias("features"))

@@ -334,7 +334,7 @@ def topk_sma(spark, d):
     return selection.top(selection.score_averages(each(spark, d))).select("series_id", "rank", "n", _r("score", 6, "score"))
 
 
-@query()
+@query(f"with recursive {_EACH}, {_RET}, b as (select *, row_number() {_W} as k from r), e as (select series_id, k, " + ", ".join(f"close as a_{n}" for n in selection.AVERAGES) + " from b where k = 1 union all select b.series_id, b.k, " + ", ".join(f"e.a_{n} + {2 / (n + 1)} * (b.close - e.a_{n})" for n in selection.AVERAGES) + f" from e join b on b.series_id = e.series_id and b.k = e.k + 1), y as (select series_id, k, lead(ret) {_W} as nxt from b), x as (select e.*, y.nxt from e join y on y.series_id = e.series_id and y.k = e.k), u as (" + " union all ".join(_score_sql(n).format(x="a") for n in selection.AVERAGES) + f"), t as (select series_id, n, s as score from u) {_TOP}")
 def topk_ema(spark, d):
     return selection.top(selection.score_averages(each(spark, d), "ema")).select("series_id", "rank", "n", _r("score", 6, "score"))
 
@@ -423,7 +423,7 @@ _PATH = "t as (select row_number() over (order by date desc) as h, ln(close) as
 
 def _path(spark, d):
     tail = src.tail(whole(spark, d), 30)
-    return tail.select(F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("date"))).cast("long").alias("h"), F.ln("close").alias("log_price"), F.lit(0.05).alias("sigma"))
+    return tail.select("series_id", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("date"))).cast("long").alias("h"), F.ln("close").alias("log_price"), F.lit(0.05).alias("sigma"))
 
 
 def _mc(out: DataFrame) -> DataFrame:
@@ -484,7 +484,7 @@ def array_functions(spark, d):
     return a.select("series_id", F.array_join(F.transform(F.reverse("xs"), lambda x: x.cast("string")), "|").alias("newest_last"), F.size("xs").cast("long").alias("n"))
 
 
-# ---- models (no SQL twin; tests hold them against brute force)
+# ---- models (no SQL twin; tests/test_series.py has known answers for the models, folds and choices)
 
 
 @query()
@@ -503,6 +503,18 @@ def cutoff_scores(spark, d):
     return stats.posterior(grouped.score_cutoffs(p, frames.cutoff_grid(p, least_days=365)), 2.0)
 
 
+@query()
+def weighted_start(spark, d):
+    p = each(spark, d)
+    scored = selection.weighted_score(grouped.score_cutoffs(p, frames.cutoff_grid(p, least_days=365)))
+    return selection.first_best(scored, "score", "cutoff")
+
+
+@query()
+def chosen_features(spark, d):
+    return selection.choose(each(spark, d), 30)
+
+
 @query()
 def walk_forward(spark, d):
     f = grouped.walk_forward(each(spark, d), least=365, window=60)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import stats
+from tidemark.functions import stats, windows
 from tidemark.operators import frames, grouped, montecarlo, selection
 
 
@@ -24,6 +25,12 @@ class RunConfig:
     random_state: int = 42
     output_dir: str | None = None
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str]) -> RunConfig:
+        """Settings from variables named like them in capitals; others have their defaults."""
+        found = {f.name: env[f.name.upper()] for f in fields(cls) if f.name.upper() in env}
+        return cls(**{k: type(getattr(cls, k))(v) if getattr(cls, k) is not None else v for k, v in found.items()})
+
     def __post_init__(self):
         # The bounds of a run request.
         for name, lo, hi in (("horizon_days", 30, 3650), ("test_last_days", 30, 1000), ("monte_carlo_runs", 100, 20000), ("max_lag", 5, 120)):
@@ -42,25 +49,43 @@ def choose_start(df: DataFrame, temperature: float, most: int = 48, test_rows: i
 def with_intervals(path: DataFrame, runs: int, seed: int = 42) -> DataFrame:
     """The forecast table: date, baseline, residual, price and the simulated interval."""
     steps = path.withColumn("log_price", F.ln("price"))
-    ci = montecarlo.gaussian(steps.select("h", "log_price", "sigma"), runs, seed)
-    return path.join(ci, "h").select("series_id", "h", "date", F.col("baseline").alias("prophet_baseline"), F.col("residual").alias("xgboost_res"), F.col("price").alias("combined_price"), F.col("mc_low").alias("combined_low_mc"), F.col("mc_high").alias("combined_high_mc"))
+    ci = montecarlo.gaussian(steps.select("series_id", "h", "log_price", "sigma"), runs, seed)
+    return path.join(ci, ["series_id", "h"]).select("series_id", "h", "date", F.col("baseline").alias("prophet_baseline"), F.col("residual").alias("xgboost_res"), F.col("price").alias("combined_price"), F.col("mc_low").alias("combined_low_mc"), F.col("mc_high").alias("combined_high_mc"))
+
+
+def chosen_features(rows: DataFrame, config: RunConfig) -> DataFrame:
+    """The features that each series uses, told from the rows before its test rows."""
+    return selection.choose(frames.split(rows, config.test_last_days).where("not is_test").drop("is_test"), config.max_lag)
 
 
-def run(df: DataFrame, config: RunConfig, most: int = 48, rounds: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(forecast table, scored starts, rows from the chosen start on) of one series."""
-    scored = choose_start(df, config.bayesian_temperature, most, config.test_last_days)
-    best = selection.first_best(scored, "posterior", "cutoff").select("series_id", "cutoff")
-    rows = df.join(F.broadcast(best), "series_id").where(F.col("date") >= F.col("cutoff")).drop("cutoff")
-    path = grouped.forecast(rows, horizon=config.horizon_days, test_rows=config.test_last_days, rounds=rounds)
+def run(df: DataFrame, config: RunConfig, most: int = 48, rounds: int = 200, choice: str = "posterior") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(forecast table, scored starts, rows from the chosen start on) of every series; choice: by `posterior` or by the `weighted` score."""
+    scored = selection.weighted_score(choose_start(df, config.bayesian_temperature, most, config.test_last_days)).persist()
+    best = selection.first_best(scored, {"posterior": "posterior", "weighted": "score"}[choice], "cutoff").select("series_id", "cutoff")
+    rows = df.join(best, "series_id").where(F.col("date") >= F.col("cutoff")).drop("cutoff").persist()
+    path = grouped.forecast(rows, selection.candidates(config.max_lag), config.horizon_days, config.test_last_days, rounds, chosen=chosen_features(rows, config))
     return with_intervals(path, config.monte_carlo_runs, config.random_state), scored, rows
 
 
-def summary(forecast: DataFrame, scored: DataFrame, rows: DataFrame, config: RunConfig) -> DataFrame:
-    """One row with the chosen start, regime, settings, prices and all posteriors."""
-    best = selection.first_best(scored, "posterior", "cutoff").select(F.col("cutoff").cast("string").alias("map_cutoff"), F.col("posterior").alias("map_posterior"))
-    all_ = scored.agg(F.count("*").alias("cutoff_candidates_evaluated"), F.array_sort(F.collect_list(F.struct(F.col("cutoff").cast("string").alias("cutoff"), F.col("acc").alias("accuracy"), "posterior"))).alias("cutoff_posteriors"))
-    now = frames.latest(rows).select(F.col("close").alias("current_price"))
-    ends = forecast.agg(*[F.max(F.when(F.col("h") == min(k, config.horizon_days), F.col("combined_price"))).alias(n) for k, n in ((30, "forecast_30d"), (90, "forecast_90d"), (config.horizon_days, "forecast_target"))], *[F.max_by(c, "h").alias(n) for c, n in (("combined_low_mc", "ci95_low_target"), ("combined_high_mc", "ci95_high_target"))])
-    out = best.crossJoin(all_).crossJoin(stats.regime(rows).select("regime")).crossJoin(now).crossJoin(ends)
+def evaluation(rows: DataFrame, config: RunConfig, rounds: int = 200) -> DataFrame:
+    """series_id, directional_accuracy, p_value, significant, residual_test_mse, and the walk-forward folds with their mean and deviation."""
+    held = grouped.evaluate(rows, selection.candidates(config.max_lag), config.test_last_days, rounds, chosen_features(rows, config))
+    p = stats.binomial_at_least(F.col("hits"), F.col("n"))
+    held = held.select("series_id", F.col("acc").alias("directional_accuracy"), p.alias("p_value"), (p < 0.05).alias("significant"), F.col("mse").alias("residual_test_mse"))
+    # the folds' dates: the same rows as those that walk_forward learns from and tests
+    spans = frames.folds(windows.build(rows, grouped.DEFAULT), config.test_last_days).groupBy("series_id", "fold").agg(*[f(F.when(F.col("is_test") == t, F.col("date"))).cast("string").alias(n) for n, f, t in (("train_end", F.max, False), ("test_start", F.min, True), ("test_end", F.max, True))])
+    each = grouped.walk_forward(rows, window=config.test_last_days).join(spans, ["series_id", "fold"])
+    detail = F.struct("train_end", "test_start", "test_end", F.col("acc").alias("directional_accuracy"))
+    walked = each.groupBy("series_id").agg(F.count("*").alias("walk_forward_folds"), F.avg("acc").alias("walk_forward_mean_accuracy"), F.stddev_pop("acc").alias("walk_forward_std_accuracy"), F.array_sort(F.collect_list(detail)).alias("walk_forward_details"))
+    return held.join(walked, "series_id", "left").withColumn("walk_forward_folds", F.coalesce("walk_forward_folds", F.lit(0).cast("long")))
+
+
+def summary(forecast: DataFrame, scored: DataFrame, rows: DataFrame, config: RunConfig, rounds: int = 200) -> DataFrame:
+    """One row for each series with the chosen start, regime, settings, evaluation, prices and all posteriors."""
+    best = selection.first_best(scored, "posterior", "cutoff").select("series_id", F.col("cutoff").cast("string").alias("map_cutoff"), F.col("posterior").alias("map_posterior"))
+    all_ = scored.groupBy("series_id").agg(F.count("*").alias("cutoff_candidates_evaluated"), F.array_sort(F.collect_list(F.struct(F.col("cutoff").cast("string").alias("cutoff"), F.col("acc").alias("accuracy"), "posterior"))).alias("cutoff_posteriors"))
+    now = frames.latest(rows).select("series_id", F.col("close").alias("current_price"))
+    ends = forecast.groupBy("series_id").agg(*[F.max(F.when(F.col("h") == min(k, config.horizon_days), F.col("combined_price"))).alias(n) for k, n in ((30, "forecast_30d"), (90, "forecast_90d"), (config.horizon_days, "forecast_target"))], *[F.max_by(c, "h").alias(n) for c, n in (("combined_low_mc", "ci95_low_target"), ("combined_high_mc", "ci95_high_target"))])
+    out = best.join(all_, "series_id").join(stats.regime(rows).select("series_id", "regime"), "series_id").join(now, "series_id").join(ends, "series_id").join(evaluation(rows, config, rounds), "series_id", "left")
     settings = [F.lit(config.ticker).alias("ticker"), *[F.lit(getattr(config, c)).alias(c) for c in ("horizon_days", "test_last_days", "monte_carlo_runs", "bayesian_temperature", "max_lag")]]
     return out.select(*settings, "*")
