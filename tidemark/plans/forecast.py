@@ -60,8 +60,9 @@ def chosen_features(rows: DataFrame, config: RunConfig) -> DataFrame:
 
 def run(df: DataFrame, config: RunConfig, most: int = 48, rounds: int = 200, choice: str = "posterior") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(forecast table, scored starts, rows from the chosen start on) of every series; choice: by `posterior` or by the `weighted` score."""
-    scored = selection.weighted_score(choose_start(df, config.bayesian_temperature, most, config.test_last_days)).persist()
-    best = selection.first_best(scored, {"posterior": "posterior", "weighted": "score"}[choice], "cutoff").select("series_id", "cutoff")
+    scored = choose_start(df, config.bayesian_temperature, most, config.test_last_days).persist()
+    ranked = {"posterior": lambda: (scored, "posterior"), "weighted": lambda: (selection.weighted_score(scored), "score")}[choice]()
+    best = selection.first_best(*ranked, "cutoff").select("series_id", "cutoff")
     rows = df.join(best, "series_id").where(F.col("date") >= F.col("cutoff")).drop("cutoff").persist()
     path = grouped.forecast(rows, selection.candidates(config.max_lag), config.horizon_days, config.test_last_days, rounds, chosen=chosen_features(rows, config))
     return with_intervals(path, config.monte_carlo_runs, config.random_state), scored, rows
