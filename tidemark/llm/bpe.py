@@ -29,7 +29,7 @@ from tidemark.llm import text as tx
 
 SPLIT = 12
 LONG_RUN = 2_000
-MOST_KNOWN = 300_000  # words whose ids a worker remembers, some 50 MB; others are encoded anew
+MOST_KNOWN = 100_000  # words whose ids a worker remembers, some 22 MB; others are encoded anew
 PIECE = 1_000  # characters of a piece that is dealt out
 
 
