@@ -178,6 +178,49 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert not any(kept[1000 + i] for i in range(20)) and sum(kept[i] for i in range(400)) > 396
 
 
+def plain_estimate(x):
+    """Location and scatter by numpy alone: of two starts, that with the smaller determinant after the steps."""
+    n = len(x)
+    at = lambda v, share: np.sort(v)[int(np.ceil(share * n)) - 1]
+    floor, fits = np.diag(np.square(quality_rules.FLOORS)), []
+    for width in (1.349, 4.0):
+        centre = np.array([at(c, 0.5) for c in x.T])
+        cov = np.diag([((at(c, 0.75) - at(c, 0.25)) / width) ** 2 for c in x.T]) + floor
+        for _ in range(quality_rules.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            near = x[d <= at(d, quality_rules.SUPPORT)]
+            centre, cov = near.mean(axis=0), np.cov(near.T, bias=True) + floor
+        fits.append((np.linalg.slogdet(cov)[1], centre, cov))
+    return min(fits, key=lambda f: f[0])[1:]
+
+
+def test_verdicts_equal_plain_estimates(spark):
+    rng, rows = random.Random(9), []
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    for lang, source, n in (("en", "a", 260), ("en", "b", 220), ("en", None, 30), ("de", "a", 40), (None, "c", 25)):
+        for _ in range(n):
+            end = rng.choice(["$$$", "!?", "99"]) if rng.random() < 0.1 else ""
+            rows.append((len(rows), " ".join(word() + end for _ in range(rng.randint(15, 200))), lang, source))
+    rows += [(9000, "too short", "en", "a"), (9001, None, None, None), (9002, " ".join(word() for _ in range(20_000)), "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    good = [r for r in quality_rules.measure(df).collect() if not got[r.doc_id].base_failed]
+    cells = {}
+    for r in good:
+        for key in ((r.lang, r.source), (r.lang,), ()):
+            cells.setdefault(key, []).append([r[s] for s in quality_rules.STATS])
+    own = lambda r: next((k for k in ((r.lang, r.source), (r.lang,)) if len(cells[k]) >= quality_rules.LEAST), ())
+    fits = {k: plain_estimate(np.array(cells[k])) for k in {own(r) for r in good}}
+    assert set(fits) == {("en", "a"), ("en", "b"), ("en",), ()}
+    for r in good:
+        centre, cov = fits[own(r)]
+        x = np.array([r[s] for s in quality_rules.STATS]) - centre
+        d = x @ np.linalg.inv(cov) @ x / len(x)
+        assert got[r.doc_id].distance == pytest.approx(d, rel=0.1)
+        assert got[r.doc_id].kept == (d <= quality_rules.BOUND) or abs(d - quality_rules.BOUND) < 0.1 * quality_rules.BOUND
+    assert not got[9000].kept and not got[9001].kept and 10 < sum(not got[r.doc_id].kept for r in good) < 120
+
+
 def test_determinant_falls_with_each_step(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), "c", *map(float, r)) for i, r in enumerate(rng.normal(size=(500, len(quality_rules.STATS))) * 3)]
@@ -197,6 +240,28 @@ def test_factorisation_identity():
         assert g == pytest.approx(0.3 + m.w[ids[s:e]] @ val[s:e] + pairs)
 
 
+def test_scores_equal_the_sum_over_all_pairs(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.train(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + ["", None, "a a b", " ".join(f"w{i % 4000}" for i in range(30_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = quality_model.score(df, model).collect()
+    for r in out:
+        ids, val, _ = quality_model.features(pa.array([texts[r.doc_id]], pa.string()))
+        x = model.scaled(ids, val)
+        pairs = np.triu((model.v[ids] @ model.v[ids].T) * np.outer(x, x), 1).sum()
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(model.w0 + model.w[ids] @ x + pairs, -30, 30))), abs=1e-9)
+        assert r.predicted == (r.score >= quality_model.THRESHOLD)
+    assert len(out) == len(texts)
+
+
+def test_one_id_with_several_texts_fits_alike(spark):
+    rows = [(i, f"text {i % 7} {'good words' if i % 2 else 'bad $$$'} {k}") for i in range(40) for k in range(2)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    a, b = (quality_model.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert (a.w == b.w).all() and (a.v == b.v).all() and a.w0 == b.w0
+
+
 def test_classifier_on_held_out_rows(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -276,6 +341,16 @@ def edits_in(p, t):
     return min(row)
 
 
+def edits_between(p, t):
+    row = list(range(len(t) + 1))
+    for i, c in enumerate(p):
+        new = [i + 1]
+        for j, e in enumerate(t):
+            new.append(min(row[j] + (c != e), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
 def test_decontamination_against_edit_distance(spark, sf):
     norm = lambda t: " ".join(re.sub(r"[\W_]+", " ", t.lower()).split())
     random.seed(2)
@@ -293,6 +368,9 @@ def test_decontamination_against_edit_distance(spark, sf):
     want = {(d, i) for d, t in rows for i, v in items[:6] if edits_in(norm(v), norm(t)) <= int(decontaminate.RATE * len(norm(v)))}
     got = decontaminate.search(df, bench, block_chars=600)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.where("doc_id = 0").count() >= 2
+    for r in got.collect():
+        item, text = norm(dict(items)[r.item_id]), norm(dict(rows)[r.doc_id])
+        assert edits_between(item, text[r.start : r.end]) == edits_in(item, text) == r.edits
     assert decontaminate.search(df, bench.limit(0)).count() == 0 and decontaminate.search(df.limit(0), bench).count() == 0
     assert {r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()} == {d for d in df.toPandas()["doc_id"]} - {d for d, _ in want}
 

@@ -9,7 +9,8 @@ It is fitted on at most `most_rows` labelled rows, those with the smallest hashe
 doc_id: a bounded sample of labels, the only bound here. Labels, lang, source and
 doc_id are never inputs. Every text is scored whole. Null and empty texts are
 scored by their statistics alone. Repeated rows get equal scores; repeated labels
-count once (the larger). Without labels the model is constant at 0.5.
+count once (the larger), and of several texts with one doc_id the least is learnt
+from. Without labels the model is constant at 0.5.
 """
 
 from __future__ import annotations
@@ -123,14 +124,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     """Fits on at most most_rows labelled rows outside the held-out fold."""
     y = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
     y = y.where("crc32(cast(doc_id as string)) % 5 != 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    pdf = tx.documents(docs).join(F.broadcast(y), "doc_id").dropDuplicates(["doc_id"])
+    sample = tx.documents(docs).join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def run(frames):
         pdf = pd.concat(list(frames)).sort_values("doc_id")
         m = fit(pa.array(pdf["text"], pa.string()), pdf["y"].to_numpy(float))
         yield pd.DataFrame({"w0": [m.w0], "w": [m.w], "v": [m.v.ravel()], "centre": [m.centre], "scale": [m.scale]})
 
-    one = pdf.select("doc_id", "text", "y").coalesce(1).mapInPandas(run, "w0 double, w array<double>, v array<double>, centre array<double>, scale array<double>")
+    one = sample.coalesce(1).mapInPandas(run, "w0 double, w array<double>, v array<double>, centre array<double>, scale array<double>")
     row = one.first() if y.take(1) else None
     if row is None:
         return fit(pa.array([], pa.string()), np.zeros(0))
