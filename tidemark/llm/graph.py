@@ -9,15 +9,14 @@ from tidemark.llm import text as tx
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node is linked to the least of the node and its neighbours."""
+    """Each larger neighbour of a node is linked to the least of the node and its neighbours. All a > b, not distinct."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """The smaller neighbours of a node and the node itself are linked to the least of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _small_star(down: DataFrame) -> DataFrame:
+    """The smaller neighbours of a node and the node itself are linked to the least of them. down: all a > b."""
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     linked = down.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
     return linked.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

@@ -61,11 +61,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir, so that lost executors lose nothing."""
+    """Cut the lineage in the folder of spark.checkpoint.dir, so that lost executors lose nothing.
+
+    Shuffle files that led to it are of no more use; Spark deletes them once the driver
+    collects the objects that stand for them, which is hinted at here.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    sc._jvm.System.gc()
+    return out
 
 
 def blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = BLOCK_BYTES, column: str = "text", max_rows: int = 60_000) -> Iterator[pa.Table]:
