@@ -35,4 +35,32 @@ with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coa
 select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from p
 """
 
-SQL = {"op3_ngram_join": NGRAM_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op6_warc": WARC}
+CRC32 = "xor(list_reduce(list_concat([4294967295], list_transform(range(len({0})), lambda i: ascii(substr({0}, i + 1, 1)))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen(cast({x} as varchar)) || ':' || cast({x} as varchar), '-')"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_STEP = "select tree, level + 1, pos // 16, sha256(string_agg(digest, '' order by pos)), (n + 15) // 16 from {0} where n > 1 group by tree, level, pos // 16, n"
+_RUN = "select l.tree, l.pos, {1} as stage, t.level, string_agg(t.digest, '' order by t.pos) filter (where t.pos < l.at // (16 ** t.level)::bigint) as a, string_agg(t.digest, '' order by t.pos) filter (where t.pos > l.at // (16 ** t.level)::bigint) as b from {2} l join {0} t on t.tree = l.{3} and t.n > 1 and t.pos // 16 = l.at // (16 ** (t.level + 1))::bigint group by 1, 2, 3, 4"
+
+MERKLE = f"""
+with recursive d as (select doc_id, coalesce('s' || source, '') as tree, {_LEAF.format('text')} as leaf, case when {CRC32.format('cast(doc_id as varchar)')} % 5 = 0 then {_LEAF.format(_LOWERED)} end as tampered from documents),
+l as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n from d),
+t(tree, level, pos, digest, n) as (select tree, 0, pos, leaf, n from l union all {_STEP.format('t')}),
+s as (select tree as source, digest as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from t where n = 1),
+u(tree, level, pos, digest, n) as (select '', 0, pos, subroot, n from s union all {_STEP.format('u')}),
+lower_leaf as (select tree, pos, pos as at from l),
+upper_leaf as (select l.tree, l.pos, s.pos as at, '' as top from l join s on s.source = l.tree),
+p as (select *, row_number() over (partition by tree, pos order by stage, level) as k from ({_RUN.format('t', 0, 'lower_leaf', 'tree')} union all {_RUN.format('u', 1, 'upper_leaf', 'top')})),
+f(tree, pos, k, acc) as (select tree, pos, 0, coalesce(tampered, leaf) from l union all select f.tree, f.pos, f.k + 1, sha256(coalesce(p.a, '') || f.acc || coalesce(p.b, '')) from f join p on p.tree = f.tree and p.pos = f.pos and p.k = f.k + 1),
+e as (select tree, pos, arg_max(acc, k) as folded_root from f group by 1, 2),
+g as (select tree, pos, string_agg(coalesce(a, '') || coalesce(b, ''), '' order by k) as sib from p group by 1, 2)
+select l.doc_id, l.leaf, s.subroot, r.digest as root, sha256(coalesce(g.sib, '')) as proof_sha256, e.folded_root, e.folded_root = r.digest as verified
+from l join s on s.source = l.tree cross join (select digest from u where n = 1) r join e on e.tree = l.tree and e.pos = l.pos left join g on g.tree = l.tree and g.pos = l.pos
+"""
+
+SQL = {"op3_ngram_join": NGRAM_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op6_warc": WARC, "op11_merkle": MERKLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, lm, ngram_join, oracles, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, warc
+from tidemark.llm import bpe, decontaminate, lm, merkle, ngram_join, oracles, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_language_model": op2_language_model, "op3_ngram_join": op3_ngram_join, "op4_suffix_dedup": op4_suffix_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op9_decontamination": op9_decontamination, "op10_bpe": op10_bpe}
+    return {"op1_pii": op1_pii, "op2_language_model": op2_language_model, "op3_ngram_join": op3_ngram_join, "op4_suffix_dedup": op4_suffix_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op9_decontamination": op9_decontamination, "op10_bpe": op10_bpe, "op11_merkle": op11_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
