@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ngram_join, substring_dedup
+from tidemark.llm import ngram_join, secrets, substring_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,4 +63,33 @@ select l.doc_id, l.leaf, s.subroot, r.digest as root, sha256(coalesce(g.sib, '')
 from l join s on s.source = l.tree cross join (select digest from u where n = 1) r join e on e.tree = l.tree and e.pos = l.pos left join g on g.tree = l.tree and g.pos = l.pos
 """
 
-SQL = {"op3_ngram_join": NGRAM_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op6_warc": WARC, "op11_merkle": MERKLE}
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _kind(k: int) -> str:
+    """Matches of a kind: gaps, texts and values by place, and which count."""
+    pattern = _quoted(secrets.PATTERNS[secrets.KINDS[k]])
+    ok = {0: f"length(value) >= {secrets.LEAST}", 4: "regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]')"}.get(k, "true")
+    lists = f"regexp_extract_all(text, {pattern}, 0) as ms, regexp_extract_all(text, {pattern}, {0 if k else 2}) as vs, string_split_regex(text, {pattern}) as gs"
+    return f"select doc_id, source, lang, {k} as kind, i, length(gs[i]) as gap, length(ms[i]) as size, vs[i] as value, {ok} as ok from (select *, unnest(range(1, len(ms) + 1)) as i, vs[i] as value from (select doc_id, source, lang, {lists} from d))"
+
+
+_FREE = "not exists (select 1 from {} b where b.doc_id = p.doc_id and b.kind < p.kind and b.s < p.e and b.e > p.s)"
+_SPANS = "coalesce(string_agg(list_extract([{0}], kind + 1) || ':' || s || ':' || e, ',' order by s, kind{1}, '')"
+
+SECRETS = f"""
+with d as (select doc_id, coalesce(text, '') as text, source, lang from documents),
+m as ({" union all ".join(_kind(k) for k in range(len(secrets.KINDS)))}),
+o as (select value, count(distinct coalesce('s' || source, '')) as owners, count(distinct coalesce('s' || source, '') || chr(0) || coalesce('s' || lang, '')) as repositories from m where ok group by 1),
+p as (select * from (select *, cast(sum(gap + size) over (partition by doc_id, kind order by i) as bigint) as e, cast(sum(gap + size) over (partition by doc_id, kind order by i) as bigint) - size as s from m) where ok),
+q as (select * from p where kind < 3 or kind = 3 and {_FREE.format('p')}),
+r as (select * from q union all select * from p where kind = 4 and {_FREE.format('q')}),
+j as (select r.*, kind < 3 as base, case when owners >= {secrets.WIDE_OWNERS} or repositories >= {secrets.WIDE_REPOSITORIES} then 'example' when owners = 1 then 'own' else 'shared' end as class, class = 'own' and not regexp_matches(value, {_quoted(secrets.PLACEHOLDER)}) as live from r join o using (value)),
+c as (select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex, count(*) filter (where base and live) as n_live, count(*) filter (where base and class = 'shared') as n_shared, count(*) filter (where base and class = 'example') as n_example,
+  {_SPANS.format(", ".join(_quoted(k) for k in secrets.KINDS), ") filter (where base)")} as base, {_SPANS.format(", ".join(_quoted(k) for k in secrets.KINDS), ") filter (where base or live)")} as spans from j group by 1)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_shared, 0) as n_shared, coalesce(n_example, 0) as n_example from d left join c using (doc_id)
+"""
+
+SQL = {"op3_ngram_join": NGRAM_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op6_warc": WARC, "op11_merkle": MERKLE, "op13_secrets": SECRETS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, lm, merkle, ngram_join, oracles, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, warc, whitening
+from tidemark.llm import bpe, decontaminate, lm, merkle, ngram_join, oracles, pii, quality_model, quality_rules, secrets, substring_dedup, suffix_dedup, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_language_model": op2_language_model, "op3_ngram_join": op3_ngram_join, "op4_suffix_dedup": op4_suffix_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op9_decontamination": op9_decontamination, "op10_bpe": op10_bpe, "op11_merkle": op11_merkle, "op12_whitening": op12_whitening}
+    return {"op1_pii": op1_pii, "op2_language_model": op2_language_model, "op3_ngram_join": op3_ngram_join, "op4_suffix_dedup": op4_suffix_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op8_quality_model": op8_quality_model, "op9_decontamination": op9_decontamination, "op10_bpe": op10_bpe, "op11_merkle": op11_merkle, "op12_whitening": op12_whitening, "op13_secrets": op13_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
