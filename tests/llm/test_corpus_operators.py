@@ -68,14 +68,25 @@ def near_copies(n):
     return out + [(9000, None), (9001, ""), (9002, "a b"), (9003, "A  b"), (9004, "a b c d e f"), (None, "a b"), (0, out[0][1])]
 
 
-@pytest.mark.parametrize("block", [32, 256])
-def test_components(spark, rows, monkeypatch, block):
+@pytest.mark.parametrize("block, short", [(32, 3), (32, 64), (256, 64)])
+def test_components(spark, rows, monkeypatch, block, short):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SHORT", short)
     for some in (rows, near_copies(250)):
         got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.join(table(spark, some)).collect())
         assert got == plain_components(some)
 
 
+def test_chain_of_texts_that_share_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(3)
+    ws = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    chain = [(i, " ".join(ws[8 * i : 8 * i + 60])) for i in range(90)]
+    chain += [(200 + i, t[: t.rindex(" ")]) for i, t in chain[::9]] + [(300, "one very long text " * 60_000), (301, "x" * 1_000_000), (302, "x" * 1_000_000)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.join(table(spark, chain)).collect())
+    assert got == plain_components(chain)
+
+
 def test_one_row_of_each_group_stays(spark):
     some = near_copies(40)
     kept = ngram_join.keep_one(table(spark, some)).collect()

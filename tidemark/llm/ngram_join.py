@@ -9,8 +9,10 @@ representative. The remaining representatives are grouped by shared shingles of
 their prefixes (the size-derived bound, common shingles last), and within a group
 blocks of the matrix are multiplied range by range: overlaps add up, pairs below
 the bound are discarded, and each block sends on the links that span its parts.
-Large groups first link to a few pivots; only blocks across the parts that remain
-are multiplied, so a group of near copies costs in proportion to its size.
+Large groups first link to a few pivots. Across the parts that remain, texts that meet
+in a short list of a shared prefix shingle are compared by the pair, each once; only
+those in long lists are multiplied in blocks. So a group of near copies, or a chain of
+texts of which each shares shingles with the next, costs in proportion to its size.
 
 Null and empty texts have an empty set and link with nothing; texts with fewer
 words than a shingle have their whole sequence as one. Repeated rows have equal
@@ -35,6 +37,7 @@ PERCENT = 80
 HOT = 64  # shingles in more rows than this are ordered by how common they are
 BLOCK = 256  # texts on a side of a block of the product
 PIVOTS = 4
+SHORT = 64  # lists of a shingle with up to so many texts are compared by the pair
 RANGE_BITS = 38
 NO_ID = np.iinfo(np.int64).max
 
@@ -279,12 +282,39 @@ def _to_pivots(frames):
         yield pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
 
-def _large_links(members: DataFrame) -> DataFrame:
-    """Links inside groups of more than BLOCK texts. members: grp, node, n, keys."""
+def _verified(frames):
+    for pdf in frames:
+        hit = []
+        for x, y in zip(pdf["x"], pdf["y"]):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            hit.append(len(np.intersect1d(x, y, assume_unique=True)) * (100 + PERCENT) >= PERCENT * (len(x) + len(y)))
+        yield pdf.loc[np.array(hit, bool), ["a", "b"]]
+
+
+def _short_links(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """Links between texts of different parts that a list brings together. entries: h, node, n, at (place in the prefix), lab."""
+    x, y = (entries.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "at", "lab")]) for k in "12")
+    both = x.join(y, "h").where("node1 < node2 and lab1 != lab2")
+    # sizes, and what can still follow the place of the shingle, must allow the overlap
+    rest = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    able = both.where((F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * PERCENT) & (rest * (100 + PERCENT) >= PERCENT * (F.col("n1") + F.col("n2"))))
+    pairs = able.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    sides = pairs.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a").join(keys.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
+    return sides.select("a", "b", "x", "y").mapInPandas(_verified, "a long, b long")
+
+
+def _large_links(members: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Links inside groups of more than BLOCK texts. members: grp, node, n, keys; prefixes: node, prefix."""
     pivots = members.groupBy("grp").agg(F.min_by(F.struct("node", "keys"), F.struct(F.xxhash64("node"), "node")).alias("p0"), *[F.min_by(F.struct("node", "keys"), F.struct(F.xxhash64("node", F.lit(i)), "node")).alias(f"p{i}") for i in range(1, PIVOTS)])
     pivots = tx.checkpoint(pivots.select("grp", F.array(*[f"p{i}" for i in range(PIVOTS)]).alias("pivots")))
     near = tx.checkpoint(members.join(pivots, "grp").select("node", "n", "keys", "pivots").mapInPandas(_to_pivots, "a long, b long"))
     label = graph.components(near)
+    entries = members.select("node", "n").join(prefixes, "node").join(label, "node", "left").select("node", "n", F.coalesce("component", "node").alias("lab"), F.posexplode("prefix").alias("at", "h"))
+    lists = entries.groupBy("h").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo != hi").select("h", "c")
+    entries = tx.checkpoint(entries.join(lists, "h"))
+    short = tx.checkpoint(_short_links(entries.where(F.col("c") <= SHORT), members))
+    long = entries.where(F.col("c") > SHORT).select("node").distinct()
+    members = tx.checkpoint(members.join(long, "node"))
     marked = members.select("grp", "node", "n").join(label, "node", "left")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
     marked = marked.withColumn("sc", size_class)
@@ -301,7 +331,7 @@ def _large_links(members: DataFrame) -> DataFrame:
     placed = marked.join(cells.select("grp", "lab", "sc", "cell", "subs"), (marked["grp"] == cells["grp"]) & marked["lab"].eqNullSafe(cells["lab"]) & (marked["sc"] == cells["sc"])).select(marked["grp"], "node", F.xxhash64("cell", F.pmod(F.xxhash64("node"), "subs").cast("int")).alias("block"))
     work = placed.join(sides, "block").join(members.select("node", "n", "keys"), "node").select("grp", "i", "j", "node", "n", "keys")
     links = work.groupBy("i", "j").applyInPandas(_multiply, "a long, b long")
-    return near.unionByName(links)
+    return near.unionByName(short).unionByName(links)
 
 
 def classes(docs: DataFrame, n_words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -321,7 +351,7 @@ def classes(docs: DataFrame, n_words: int = WORDS) -> tuple[DataFrame, DataFrame
     small = members.where(F.col("g") <= BLOCK).withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(64 * tx.shuffle_width(docs.sparkSession))))
     links = small.select("task", "grp", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node", "n", "keys").groupBy("task").applyInPandas(lambda pdf: _multiply(pdf.drop(columns="task")), "a long, b long")
     if sizes.where(F.col("g") > BLOCK).take(1):
-        links = links.unionByName(_large_links(tx.checkpoint(members.where(F.col("g") > BLOCK).drop("g"))))
+        links = links.unionByName(_large_links(tx.checkpoint(members.where(F.col("g") > BLOCK).drop("g")), sets.select("node", "prefix")))
     return rows.select("rid", "doc_id", "n", "node"), graph.components(links)
 
 

@@ -60,19 +60,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark deletes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of spark.checkpoint.dir, so that lost executors lose nothing.
 
-    Shuffle files that led to it are of no more use; Spark deletes them once the driver
-    collects the objects that stand for them, which is hinted at here.
+    The shuffle files that led to it are of no more use and go at once.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    out = df.checkpoint(eager=True)
-    del df
-    sc._jvm.System.gc()
-    return out
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = BLOCK_BYTES, column: str = "text", max_rows: int = 60_000) -> Iterator[pa.Table]:
