@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.functions import windows as w
-from tidemark.operators import frames, grouped, models, selection
+from tidemark.operators import frames, grouped, models, search, selection
 from tidemark.plans.forecast import RunConfig
 from tidemark.sources import series as src
 
@@ -34,6 +34,33 @@ def test_exponential_average_starts_with_the_first_value(spark):
     assert got == pytest.approx([1, 1, 1.5])
 
 
+@pytest.mark.parametrize("block_rows", [2, 7, 64, None])
+def test_exponential_averages_by_blocks_equal_the_recursion(spark, block_rows):
+    rng = np.random.default_rng(7)
+    closes = (100 + rng.normal(size=500).cumsum()).tolist()
+    for i in (0, 1, 2, 40, 41, 300):
+        closes[i] = None
+    spans = [1, 2, 3, 30, 365]
+    some = frame(spark, closes).where("date < '2020-03-01' or date > '2020-05-20'").unionByName(frame(spark, closes[:1] * 3 + [5.0], series="late")).unionByName(frame(spark, [None, None], series="none"))
+    got = w.exponential(some.repartition(5), spans, block_rows=block_rows).orderBy("series_id", "date").collect()
+    assert len(got) == some.count()
+    for s in spans:
+        now = {}
+        for r in got:
+            if r.close is not None:
+                before = now.get(r.series_id, r.close)
+                now[r.series_id] = before + 2 / (s + 1) * (r.close - before)
+            want = now.get(r.series_id)
+            assert (r[f"ema_{s}"] is None) if want is None else r[f"ema_{s}"] == pytest.approx(want, rel=1e-12)
+
+
+def test_no_python_in_averages_and_partial_autocorrelations(spark):
+    df = frame(spark, range(1, 90))
+    for out in (w.exponential(df, [3, 7]), stats.partial_autocorrelations(w.with_returns(df), "ret", 5)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_integer_steps():
     assert frames.integer_steps(730, 3200, 4) == [730, 1553, 2376, 3200]
 
@@ -65,13 +92,14 @@ def test_regime_edges(spark):
     assert label(104.0) == "CONSOLIDATION" and label(100.0) == "CONSOLIDATION" and label(85.0) == "BEAR" and label(92.0) == "NEUTRAL" and label(112.0) == "BULL_STABLE" and label(107.0) == "BULL_VOLATILE"
 
 
-def test_partial_autocorrelation_solves_yule_walker():
+def test_partial_autocorrelation_solves_yule_walker(spark):
     rho = np.array([1, 0.6, 0.3, 0.2])
     want = [1.0]
     for k in range(1, 4):
         m = np.array([[rho[abs(i - j)] for j in range(k)] for i in range(k)])
         want.append(np.linalg.solve(m, rho[1 : k + 1])[-1])
-    assert stats.durbin_levinson(rho) == pytest.approx(want)
+    got = spark.createDataFrame([(k, float(r)) for k, r in enumerate(rho)], "lag long, acf double").groupBy().agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("r"))
+    assert got.select(stats.levinson(F.col("r.acf")).alias("p")).first().p == pytest.approx(want)
 
 
 def test_no_lag_beyond_the_bound_gives_lag_one(spark):
@@ -169,3 +197,53 @@ def test_sinks(spark, tmp_path):
     src.write_summary(df.limit(1), str(tmp_path / "s"))
     assert src.read_json(spark, str(tmp_path / "s"), "close double").first().close is not None
     assert src.artifacts(spark, str(tmp_path / "f")).count() > 0
+
+
+def planted(values):
+    """An error whose least value is at depth 6, rate 0.05, row_share 0.9, column_share 0.7."""
+    depth, rate, rows, columns = values
+    return ((depth - 6) / 6) ** 2 + (np.log(rate / 0.05) / 3) ** 2 + ((rows - 0.9) / 0.4) ** 2 + ((columns - 0.7) / 0.4) ** 2
+
+
+def test_model_based_search_beats_random_search():
+    found = []
+    for seed in range(12):
+        rng, tried = np.random.default_rng(seed), np.zeros((0, 4))
+        while len(tried) < 60:
+            new = search.suggest(search.TREES, tried, np.array([planted(t) for t in tried]), 4 if len(tried) else 12, rng)
+            tried = np.concatenate([tried, new])
+        for r, column in zip(search.TREES, tried.T):
+            assert r.low <= column.min() and column.max() <= r.high and (not r.whole or (column == column.round()).all())
+        random = search.suggest(search.TREES, np.zeros((0, 4)), np.zeros(0), 60, np.random.default_rng(100 + seed))
+        found.append((min(map(planted, tried)), min(map(planted, random))))
+    model, plain = np.array(found).T
+    assert np.median(model) < 0.4 * np.median(plain) and (model < plain).mean() > 0.7
+
+
+def test_whole_settings_have_equal_shares():
+    depth = search.TREES[0]
+    assert [depth.value(u) for u in (0, 0.99 / 6, 1.01 / 6, 0.999)] == [3, 3, 4, 8]
+    assert all(depth.value(float(depth.unit(k))) == k for k in range(3, 9))
+
+
+def test_parzen_density_sums_to_one():
+    x = (np.arange(4000) + 0.5) / 4000
+    for places in ([], [0.1], [0.2, 0.2, 0.9]):
+        assert np.exp(search.Parzen(np.array(places)).log_density(x)).mean() == pytest.approx(1, abs=1e-3)
+
+
+def test_tuned_trees_are_seeded_and_mark_the_best(spark):
+    closes = 50 + np.cumsum(np.random.default_rng(4).normal(size=200))
+    df = frame(spark, closes.tolist()).unionByName(frame(spark, (closes * 2)[:40].tolist(), series="short"))
+    for folds in (3, None):
+        got = [search.tuned_trees(x, trials=7, folds=folds, test_rows=30, rounds=4, start=4, batch=2).orderBy("series_id", "trial").collect() for x in (df, df.repartition(7))]
+        assert got[0] == got[1]
+        full = [r for r in got[0] if r.series_id == "s"]
+        assert [r.trial for r in full] == list(range(7)) and len({r.rate for r in full}) == 7
+        assert [r.trial for r in full if r.best] == [min(full, key=lambda r: (r.mse, r.trial)).trial]
+        assert all(r.mse is None and not r.best for r in got[0] if r.series_id == "short")
+    best = min(full, key=lambda r: r.mse)
+    rows = frames.split(w.build(df.where("series_id = 's'"), grouped.DEFAULT), 30).orderBy("date").toPandas()
+    test = rows["is_test"].to_numpy(bool)
+    base, more, _, _ = grouped.fit_predict(rows, [f.name for f in grouped.DEFAULT], test, 4, depth=int(best.depth), rate=best.rate, row_share=best.row_share, column_share=best.column_share)
+    assert best.mse == pytest.approx(np.square(rows["log_close"].to_numpy(float) - base - more)[test].mean())

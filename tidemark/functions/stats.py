@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,24 +52,29 @@ def autocorrelations(df: DataFrame, x: str, lags: int) -> DataFrame:
     return cov.select("series_id", "n", F.explode(pairs).alias("p")).select("series_id", "n", "p.*")
 
 
-def durbin_levinson(rho: np.ndarray) -> np.ndarray:
-    """Partial autocorrelations from autocorrelations, both from lag 0."""
-    out, phi = [1.0], np.zeros(0)
-    for k in range(1, len(rho)):
-        last = (rho[k] - phi @ rho[k - 1 : 0 : -1]) / (1 - phi @ rho[1:k]) if k > 1 else rho[1]
-        phi = np.append(phi - last * phi[::-1], last)
-        out.append(float(last))
-    return np.array(out)
+def levinson(rho: Column) -> Column:
+    """Partial autocorrelations from an array of autocorrelations, both from lag 0: the Levinson-Durbin recursion as a fold."""
 
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
 
-def partial_autocorrelations(df: DataFrame, x: str, lags: int) -> DataFrame:
-    """series_id, n, lag, pacf; at most lags + 1 numbers a series meet in a task."""
+    def step(acc, k):
+        # phi has the k - 1 coefficients of the order before, newest lag last
+        phi, past = acc["phi"], F.slice(rho, 2, k - 1)
+        last = F.try_divide(F.element_at(rho, k + 1) - dot(phi, F.reverse(past)), 1 - dot(phi, past))
+        return F.struct(F.concat(F.zip_with(phi, F.reverse(phi), lambda a, b: a - last * b), F.array(last)).alias("phi"), F.concat(acc["out"], F.array(last)).alias("out"))
+
+    start = F.struct(F.array().cast("array<double>").alias("phi"), F.array(F.lit(1.0)).alias("out"))
+    lags = F.when(F.size(rho) > 1, F.sequence(F.lit(1), F.size(rho) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(lags, start, step, lambda acc: acc["out"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        return pdf.assign(pacf=durbin_levinson(pdf["acf"].to_numpy(float)))[["series_id", "n", "lag", "pacf"]]
 
-    return autocorrelations(df, x, lags).groupBy("series_id").applyInPandas(run, "series_id string, n long, lag long, pacf double")
+def partial_autocorrelations(df: DataFrame, x: str, lags: int) -> DataFrame:
+    """series_id, n, lag, pacf; null from the lag on at which the recursion meets a series without spread."""
+    cov = autocovariances(df, x, lags)
+    acf = F.array(*[F.try_divide(F.col(f"c{k}"), F.col("c0")) for k in range(lags + 1)])
+    rows = cov.select("series_id", "n", acf.alias("acf")).select("series_id", "n", F.posexplode(levinson(F.col("acf"))).alias("lag", "pacf"))
+    return rows.select("series_id", "n", F.col("lag").cast("long").alias("lag"), "pacf")
 
 
 def significant_lags(pacf: DataFrame) -> DataFrame:

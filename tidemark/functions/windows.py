@@ -5,9 +5,9 @@ All frames count rows, not days, and a rolling value is null until its frame is
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,18 +76,55 @@ class Feature:
         return None
 
 
-def exponential(df: DataFrame, spans: list[int], x: str = "close") -> DataFrame:
-    """df with ema_{span}: seeded by the first value, each next one weighing 2 / (span + 1). One task a series."""
-    names = [f"ema_{s}" for s in spans]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        for s, n in zip(spans, names):
-            pdf[n] = pdf[x].ewm(span=s, adjust=False).mean()
-        return pdf
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.groupBy("series_id").applyInPandas(run, kinds + "".join(f", {n} double" for n in names))
+def _block_rows(spans: list[int]) -> int:
+    """Rows of a block, so that the weight of what came before it stays within doubles for every span."""
+    fastest = min((s for s in spans if s > 1), default=2)
+    return max(2, min(4096, int(570 / -math.log(1 - 2 / (fastest + 1)))))
+
+
+def exponential(df: DataFrame, spans: list[int], x: str = "close", block_rows: int | None = None) -> DataFrame:
+    """df with ema_{span}: seeded by the first value, each next one weighing 2 / (span + 1); nulls leave an average as it is.
+
+    A block of consecutive rows acts on what comes in as one affine map, keep ** n * y + b.
+    Blocks are stretches of the calendar, cut again where they hold too many rows, so they
+    are spread over tasks also for one long series. Their maps are composed in order, one
+    number for each block and span, and each row then applies its block's part up to itself.
+    """
+    rows = block_rows or _block_rows(spans)
+    stamp = F.col("date").cast("timestamp").cast("double") / (86400 if dict(df.dtypes)["date"] == "date" else 3600)
+    kept = df.columns
+    framed = df.withColumn("_b", F.floor(stamp / rows))
+    framed = framed.withColumn("_s", F.floor((F.row_number().over(Window.partitionBy("series_id", "_b").orderBy("date")) - 1) / rows))
+    so_far = Window.partitionBy("series_id", "_b", "_s").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    framed = framed.withColumn("_n", F.count(x).over(so_far))
+    value = F.col(x).cast("double")
+    own = []
+    for s in spans:
+        rate = 2 / (s + 1)
+        keep = 1 - rate
+        # what the block's rows add, over the weight of what came in
+        own.append(F.coalesce(F.sum(rate * value / F.pow(F.lit(keep), F.col("_n"))).over(so_far), F.lit(0.0)) if keep else F.last(value, ignorenulls=True).over(so_far))
+    framed = framed.withColumns({f"_o{s}": o for s, o in zip(spans, own)})
+    ends = framed.groupBy("series_id", "_b", "_s").agg(F.max("_n").alias("n"), F.min_by(value, F.when(F.col(x).isNotNull(), F.col("date"))).alias("first"), F.max_by(F.array(*[f"_o{s}" for s in spans]), "date").alias("o"))
+
+    def after(y, n, o, span):
+        keep = 1 - 2 / (span + 1)
+        return F.pow(F.lit(keep), n) * (y + o) if keep else F.coalesce(o, y)
+
+    def step(acc, block):
+        y = [F.coalesce(acc["y"][k], block["first"]) for k in range(len(spans))]
+        out = F.array(*[after(v, block["n"], block["o"][k], s) for k, (v, s) in enumerate(zip(y, spans))])
+        return F.struct(out.alias("y"), F.concat(acc["done"], F.array(F.struct(block["_b"].alias("b"), block["_s"].alias("s"), F.array(*y).alias("y"), acc["y"][0].isNull().alias("new")))).alias("done"))
+
+    start = F.struct(F.array(*[F.lit(None).cast("double")] * len(spans)).alias("y"), F.array().cast("array<struct<b: bigint, s: bigint, y: array<double>, new: boolean>>").alias("done"))
+    chained = ends.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("_b", "_s", "n", "first", "o"))).alias("blocks"))
+    incoming = chained.select("series_id", F.explode(F.aggregate("blocks", start, step, lambda acc: acc["done"])).alias("i"))
+    incoming = incoming.groupBy("series_id", F.col("i.b").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("i.s", "i.y", "i.new"))).alias("_in"))
+    joined = framed.join(incoming, ["series_id", "_b"])
+    came = F.element_at("_in", F.col("_s").cast("int") + 1)
+    # there is no average before a series' first value
+    there = (F.col("_n") > 0) | ~came["new"]
+    return joined.select(*kept, *[F.when(there, after(came["y"][k], F.col("_n"), F.col(f"_o{s}"), s)).alias(f"ema_{s}") for k, s in enumerate(spans)])
 
 
 def with_returns(df: DataFrame) -> DataFrame:

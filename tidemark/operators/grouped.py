@@ -35,7 +35,7 @@ def accuracy(truth: np.ndarray, guess: np.ndarray) -> float:
     return float(((np.diff(truth) > 0) == (np.diff(guess) > 0)).mean()) if len(truth) > 1 else 0.5
 
 
-def _dealt(rows: DataFrame, keys: list[str]):
+def dealt(rows: DataFrame, keys: list[str]):
     """Groups in as many tasks as the session shuffles to; adaptive execution would put small ones, however slow, into one."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
 
@@ -60,7 +60,7 @@ def score_cutoffs(df: DataFrame, cutoffs: DataFrame, features=DEFAULT, test_rows
     rows = frames.after_each(frames.split(built, test_rows), cutoffs)
     keys = ["series_id", "pos", "cutoff"]
     run = _evaluated(keys, [f.name for f in features], rounds, False, max(least - 1, test_rows + 30))
-    return _dealt(rows, keys).applyInPandas(run, "series_id string, pos long, cutoff date, acc double, mae double, mse double, days long")
+    return dealt(rows, keys).applyInPandas(run, "series_id string, pos long, cutoff date, acc double, mae double, mse double, days long")
 
 
 def walk_forward(df: DataFrame, features=DEFAULT, window: int = 90, n_folds: int = 4, least: int = 730, rounds: int = FOLD_ROUNDS) -> DataFrame:
@@ -109,7 +109,7 @@ def search_trees(df: DataFrame, trials: int = 20, features=DEFAULT, k: int = 4,
     options = [F.struct(*[F.lit(v).cast(t).alias(c) for c, t, v in zip(("trial", *SETTINGS), ("long", "long", "double", "double", "double"), o)]) for o in tree_trials(trials)]
     rows = rows.withColumn("t", F.explode(F.array(*options)))
     schema = "series_id string, trial long, depth long, rate double, row_share double, column_share double, mse double"
-    return _dealt(rows.select("series_id", "date", "log_close", *names, "t.*"), ["series_id", "trial"]).applyInPandas(run, schema)
+    return dealt(rows.select("series_id", "date", "log_close", *names, "t.*"), ["series_id", "trial"]).applyInPandas(run, schema)
 
 
 class Recursion:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.functions import windows as w
-from tidemark.operators import frames, grouped, montecarlo, selection
+from tidemark.operators import frames, grouped, montecarlo, search, selection
 from tidemark.plans import forecast
 from tidemark.sources import series as src
 
@@ -392,7 +392,10 @@ def pacf(spark, d):
     return stats.partial_autocorrelations(each(spark, d), "volume", 3).select("series_id", "lag", _r("pacf", 6, "pacf"))
 
 
-@query()
+_LAGS = 30
+
+
+@query(f"with recursive {_EACH}, {_RET}, x as (select series_id, date, ret - avg(ret) over (partition by series_id) as d from r where ret is not null), l as (select series_id, d, " + ", ".join(f"lag(d, {k}) {_W} as l{k}" for k in range(1, _LAGS + 1)) + " from x), c as (select series_id, count(*) as n, [1.0::double, " + ", ".join(f"sum(d * l{k}) / (count(*) - {k}) / (sum(d * d) / count(*))" for k in range(1, _LAGS + 1)) + f"] as rho from l group by 1), s(series_id, n, rho, k, phi, last) as (select series_id, n, rho, 1, [rho[2]], rho[2] from c union all select series_id, n, rho, k + 1, list_append(list_transform(range(k), lambda i: phi[i + 1] - nxt * phi[k - i]), nxt), nxt from (select *, (rho[k + 2] - list_dot_product(phi, list_reverse(rho[2:k + 1]))) / (1 - list_dot_product(phi, rho[2:k + 1])) as nxt from s where k < {_LAGS})), h as (select series_id, k from s where abs(last) > 2 / sqrt(n)) select series_id, cast(k as bigint) as lag from h union all select series_id, cast(1 as bigint) as lag from c where series_id not in (select series_id from h)")
 def pacf_lags(spark, d):
     return stats.significant_lags(stats.partial_autocorrelations(w.with_returns(each(spark, d)), "ret", 30))
 
@@ -531,6 +534,18 @@ def hyperparam_search(spark, d):
     return grouped.search_trees(each(spark, d))
 
 
+@query()
+def hyperparam_model_search(spark, d):
+    """20 trials on four folds of the training rows."""
+    return search.tuned_trees(each(spark, d))
+
+
+@query()
+def hyperparam_test_search(spark, d):
+    """100 trials on the error of the test rows."""
+    return search.tuned_trees(whole(spark, d), trials=100, folds=None, start=20, batch=16)
+
+
 @query()
 def recursive_forecast(spark, d):
     return grouped.forecast(each(spark, d), horizon=60, test_rows=60)

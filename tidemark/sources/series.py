@@ -6,6 +6,8 @@ each day that has data; days may be missing.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the folder of spark.checkpoint.dir; one of its own only in a session without executors elsewhere."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint(eager=True)
+
+
 def flat_names(headers: Iterable) -> list[str]:
     """One name for each header: the levels of a nested one joined by underscores."""
     return ["_".join(map(str, h)).strip() if isinstance(h, (tuple, list)) else str(h) for h in headers]
