@@ -93,13 +93,15 @@ def safe_corr(x: str, y: str) -> Column:
 
 
 def regime(df: DataFrame, window: int = 30) -> DataFrame:
-    """series_id, trend over window - 1 rows, volatility of the last window returns, and the label."""
+    """series_id, trend over window - 1 rows, volatility of the last window returns, and the label with its sign."""
     rows = df.withColumn("ret", F.try_divide(F.col("close"), F.lag("close", 1).over(order())) - 1)
     rows = rows.withColumns({"trend": F.try_divide(F.col("close"), F.lag("close", window - 1).over(order())) - 1, "vol": F.stddev_samp("ret").over(order().rowsBetween(1 - window, 0)), "_r": position_from_end()})
     t, v = F.col("trend"), F.col("vol")
     # Bounds and names of the regimes, first match first.
     label = F.when((t > 0.10) & (v < 0.05), "BULL_STABLE").when(t > 0.05, "BULL_VOLATILE").when(t < -0.10, "BEAR").when(F.abs(t) < 0.05, "CONSOLIDATION").otherwise("NEUTRAL")
-    return rows.where("_r = 1").select("series_id", "trend", "vol", label.alias("regime"))
+    # The sign of each regime.
+    sign = F.element_at(F.create_map(*[F.lit(x) for pair in (("BULL_STABLE", "🟢"), ("BULL_VOLATILE", "🟡"), ("BEAR", "🔴"), ("CONSOLIDATION", "⚪"), ("NEUTRAL", "⚫")) for x in pair]), F.col("regime"))
+    return rows.where("_r = 1").select("series_id", "trend", "vol", label.alias("regime")).withColumn("regime_emoji", sign)
 
 
 def direction_accuracy(df: DataFrame, truth: str, guess: str) -> DataFrame:

@@ -40,34 +40,62 @@ def dealt(rows: DataFrame, keys: list[str]):
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
 
 
-def _evaluated(keys: list[str], names: list[str], rounds: int, weekly: bool, least: int):
+def _evaluated(keys: list[str], names: list[str] | None, rounds: int, weekly: bool, least: int):
+    """names: the features in use; None if each group's rows tell (_used)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         head = pdf[keys].iloc[:1].reset_index(drop=True)
         test = pdf["is_test"].to_numpy(bool)
         if len(pdf) <= least or test.all() or test.sum() < 2:
             return head.iloc[:0].assign(acc=[], mae=[], mse=[], days=[])
-        base, more, _, _ = fit_predict(pdf, names, test, rounds, weekly)
+        base, more, _, _ = fit_predict(pdf, list(pdf["_used"].iloc[0]) if names is None else names, test, rounds, weekly)
         y, p = pdf["log_close"].to_numpy(float)[test], (base + more)[test]
         return head.assign(acc=accuracy(y, p), mae=float(np.abs(np.exp(y) - np.exp(p)).mean()), mse=float(np.square(y - p).mean()), days=len(pdf))
 
     return run
 
 
-def score_cutoffs(df: DataFrame, cutoffs: DataFrame, features=DEFAULT, test_rows: int = 90, rounds: int = SCORER_ROUNDS, least: int = 365) -> DataFrame:
-    """series_id, pos, cutoff, acc, mae, mse, days of every candidate start with enough rows."""
-    built = w.build(df, features)
-    rows = frames.after_each(frames.split(built, test_rows), cutoffs)
+#: Features by which candidate starts are scored, for the posterior and for the weighted score; their test rows.
+SCORER = [w.Feature("lag", 1), w.Feature("lag", 7), w.Feature("mean", 7), w.Feature("mean", 14)]
+WEIGHTED_SCORER = [w.Feature("lag", n) for n in (1, 7, 14)] + [w.Feature(k, n) for n in (7, 14, 30) for k in ("mean", "std")]
+SCORER_TEST_ROWS = 90
+
+
+def score_cutoffs(df: DataFrame, cutoffs: DataFrame, features=SCORER, test_rows: int = SCORER_TEST_ROWS, rounds: int = SCORER_ROUNDS, least: int = 365) -> DataFrame:
+    """series_id, pos, cutoff, acc, mae, mse, days of every candidate start with at least `least` rows, and over test_rows + 30 complete ones.
+
+    A candidate knows no row before it: its features warm up from its own first row on,
+    and days counts the rows that are complete then.
+    """
+    rows = frames.after_each(df, cutoffs)
+    own = Window.partitionBy("series_id", "pos")
+    rows = rows.withColumn("_rows", F.count("*").over(own)).where(F.col("_rows") >= least).drop("_rows")
+    # to the windows, each candidate is a series
+    built = frames.split(w.build(rows.withColumn("series_id", F.struct("series_id", "pos", "cutoff")).drop("pos", "cutoff"), features), test_rows)
+    names = [f.name for f in features]
+    built = built.select("series_id.*", "date", "log_close", "is_test", *names)
     keys = ["series_id", "pos", "cutoff"]
-    run = _evaluated(keys, [f.name for f in features], rounds, False, max(least - 1, test_rows + 30))
-    return dealt(rows, keys).applyInPandas(run, "series_id string, pos long, cutoff date, acc double, mae double, mse double, days long")
+    return dealt(built, keys).applyInPandas(_evaluated(keys, names, rounds, False, test_rows + 30), "series_id string, pos long, cutoff date, acc double, mae double, mse double, days long")
 
 
-def walk_forward(df: DataFrame, features=DEFAULT, window: int = 90, n_folds: int = 4, least: int = 730, rounds: int = FOLD_ROUNDS) -> DataFrame:
-    """series_id, fold, acc, mae, mse, days of expanding folds."""
-    rows = frames.folds(w.build(df, features), window, n_folds, least)
-    run = _evaluated(["series_id", "fold"], [f.name for f in features], rounds, True, 30)
-    return rows.groupBy("series_id", "fold").applyInPandas(run, "series_id string, fold int, acc double, mae double, mse double, days long")
+def fold_rows(df: DataFrame, features=DEFAULT, window: int = 90, n_folds: int = 4, least: int = 730, chosen: DataFrame | None = None) -> DataFrame:
+    """Rows of every expanding fold, of those complete in the features that their series uses (_used)."""
+    rows = _with_choice(df, features, chosen).where(F.col("ret").isNotNull() & F.col("log_close").isNotNull())
+    there = [~F.array_contains("_used", f.name) | F.col(f.name).isNotNull() for f in features]
+    return frames.folds(rows.where(F.forall(F.array(*there), lambda x: x)), window, n_folds, least)
+
+
+def walk_forward(df: DataFrame, features=DEFAULT, window: int = 90, n_folds: int = 4, least: int = 730, rounds: int = FOLD_ROUNDS, chosen: DataFrame | None = None) -> DataFrame:
+    """series_id, fold, acc, mae, mse, days, and the dates train_end, test_start and test_end of expanding folds; chosen: (series_id, features) that a series uses."""
+    rows = fold_rows(df, features, window, n_folds, least, chosen)
+    run = _evaluated(["series_id", "fold"], None, rounds, True, 0)
+
+    def dated(pdf: pd.DataFrame) -> pd.DataFrame:
+        test = pdf["is_test"].to_numpy(bool)
+        return run(pdf).assign(train_end=pdf["date"][~test].max(), test_start=pdf["date"][test].min(), test_end=pdf["date"][test].max())
+
+    return dealt(rows, ["series_id", "fold"]).applyInPandas(dated, "series_id string, fold int, acc double, mae double, mse double, days long, train_end date, test_start date, test_end date")
 
 
 def learning_curve(df: DataFrame, features=DEFAULT, fractions=(0.2, 0.4, 0.6, 0.8, 1.0), test_rows: int = 90, rounds: int = ROUNDS) -> DataFrame:

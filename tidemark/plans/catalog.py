@@ -433,15 +433,15 @@ def _mc(out: DataFrame) -> DataFrame:
     return out.select("h", _r("mc_mean", 3, "mc_mean"), _r("mc_low", 3, "mc_low"), _r("mc_high", 3, "mc_high"))
 
 
-@query(f"with {_ALL}, {_PATH}, k as (select h, lp, sigma, '42:' || run || ':' || h as key from t cross join range(300) r(run)), z as (select h, exp(lp + sigma * sqrt(-2 * ln({_UNI.format(1)})) * cos(2 * pi() * {_UNI.format(9)})) as price from k) select h, round(avg(price), 3) as mc_mean, round(quantile_cont(price, 0.025), 3) as mc_low, round(quantile_cont(price, 0.975), 3) as mc_high from z group by 1")
+@query(f"with {_ALL}, {_PATH}, k as (select h, lp, sigma, '42:' || run || ':' || h as key from t cross join range(1000) r(run)), z as (select h, exp(lp + sigma * sqrt(-2 * ln({_UNI.format(1)})) * cos(2 * pi() * {_UNI.format(9)})) as price from k) select h, round(avg(price), 3) as mc_mean, round(quantile_cont(price, 0.025), 3) as mc_low, round(quantile_cont(price, 0.975), 3) as mc_high from z group by 1")
 def mc_gaussian(spark, d):
-    return _mc(montecarlo.gaussian(_path(spark, d), 300))
+    return _mc(montecarlo.gaussian(_path(spark, d), 1000))
 
 
-@query(f"with {_ALL}, {_PATH}, {_RET}, n as (select row_number() over (order by date) - 1 as i, ret as r from r where ret is not null), c as (select count(*) as m from n), k as (select h, lp, '42:' || run || ':' || h as key from t cross join range(300) r(run)), z as (select h, lp, cast(floor({_UNI.format(1)} * m) as bigint) as i from k cross join c), y as (select h, exp(lp + n.r) as price from z join n on n.i = z.i) select h, round(avg(price), 3) as mc_mean, round(quantile_cont(price, 0.05), 3) as mc_low, round(quantile_cont(price, 0.95), 3) as mc_high from y group by 1")
+@query(f"with {_ALL}, {_PATH}, {_RET}, n as (select row_number() over (order by date) - 1 as i, ret as r from r where ret is not null), c as (select count(*) as m from n), k as (select h, lp, '42:' || run || ':' || h as key from t cross join range(5000) r(run)), z as (select h, lp, cast(floor({_UNI.format(1)} * m) as bigint) as i from k cross join c), y as (select h, exp(lp + n.r) as price from z join n on n.i = z.i) select h, round(avg(price), 3) as mc_mean, round(quantile_cont(price, 0.05), 3) as mc_low, round(quantile_cont(price, 0.95), 3) as mc_high from y group by 1")
 def mc_bootstrap(spark, d):
     r = w.with_returns(whole(spark, d)).where("ret is not null").select("series_id", "date", F.col("ret").alias("r"))
-    return _mc(montecarlo.bootstrap(_path(spark, d), r, 300))
+    return _mc(montecarlo.bootstrap(_path(spark, d), r, 5000))
 
 
 @query(f"with {_EACH}, {_RET}, s as (select series_id, stddev_samp(ret) / 100 as sd from r group by 1) select p.series_id, date, round(close * exp(-1.96 * sd), 3) as low, round(close * exp(1.96 * sd), 3) as high, round(close + volume * (exp(-1.96 * sd) - 1), 3) as low_add, round(close + volume * (exp(1.96 * sd) - 1), 3) as high_add from p join s on p.series_id = s.series_id")
@@ -503,24 +503,23 @@ def garch_fit(spark, d):
 @query()
 def cutoff_scores(spark, d):
     p = each(spark, d)
-    return stats.posterior(grouped.score_cutoffs(p, frames.cutoff_grid(p, least_days=365)), 2.0)
+    return forecast.choose_start(p, forecast.RunConfig())
 
 
 @query()
 def weighted_start(spark, d):
     p = each(spark, d)
-    scored = selection.weighted_score(grouped.score_cutoffs(p, frames.cutoff_grid(p, least_days=365)))
-    return selection.first_best(scored, "score", "cutoff")
+    return forecast.choose_start(p, forecast.RunConfig(), choice="weighted").where("chosen")
 
 
 @query()
 def chosen_features(spark, d):
-    return selection.choose(each(spark, d), 30)
+    return selection.choose(each(spark, d), 60)
 
 
 @query()
 def walk_forward(spark, d):
-    f = grouped.walk_forward(each(spark, d), least=365, window=60)
+    f = grouped.walk_forward(each(spark, d))
     return f.groupBy("series_id").agg(F.count("*").alias("folds"), F.avg("acc").alias("mean_acc"), F.stddev_pop("acc").alias("std_acc"))
 
 
