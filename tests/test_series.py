@@ -290,3 +290,34 @@ def test_walk_forward_by_hand_on_the_chosen_features(spark):
         assert r.acc == pytest.approx(((np.diff(truth) > 0) == (np.diff(guess) > 0)).mean())
         assert (r.train_end, r.test_start, r.test_end) == (part["date"][end - 1], part["date"][end], part["date"].iloc[-1])
     assert grouped.walk_forward(frame(spark, closes.tolist()), least=460).count() == 0
+
+
+def test_bounds_hold_future_trends(spark):
+    # trends as the model takes them: changes in the first four fifths of the history, and after it
+    rng, rows, truth = np.random.default_rng(12), [], {}
+    for s in range(40):
+        changes = np.where(rng.random(1200) < 25 / 1100, rng.laplace(0, 0.002, 1200), 0)
+        changes[880:1100] = 0
+        y = 4 + np.cumsum(np.cumsum(changes) + 0.002) + rng.normal(0, 0.05, 1200)
+        truth[f"s{s}"] = y
+        rows += [(f"s{s}", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(np.exp(v)), 1.0) for i, v in enumerate(y[:1100])]
+    df = spark.createDataFrame(rows, "series_id string, date date, close double, volume double")
+    out = grouped.baseline(df, horizon=100, runs=300, change_scale=0.5).toPandas().sort_values(["series_id", "date"])
+    assert len(out) == 40 * 1200 and (out["yhat_lower"] < out["yhat"]).all() and (out["yhat"] < out["yhat_upper"]).all()
+    inside, width = [], []
+    for s, part in out.groupby("series_id"):
+        lo, hi = part["yhat_lower"].to_numpy(), part["yhat_upper"].to_numpy()
+        inside.append((lo < truth[s]) & (truth[s] < hi))
+        width.append(hi - lo)
+    inside, width = np.array(inside), np.array(width)
+    assert inside[:, :1100].mean() > 0.9 and inside[:, 1100:].mean() > 0.8
+    assert width[:, -1].mean() > 1.5 * width[:, 1100].mean()
+    tight = grouped.baseline(df, horizon=100, runs=300).toPandas().sort_values(["series_id", "date"])
+    assert (tight["yhat_upper"] - tight["yhat_lower"]).to_numpy().reshape(40, 1200)[:, -1].mean() < width[:, -1].mean()
+
+
+def test_laplace_prior_keeps_few_changes():
+    day = np.arange(500.0)
+    y = 3 + 0.002 * day + 0.01 * np.maximum(0, day - 200) + np.random.default_rng(1).normal(0, 0.02, 500)
+    deltas = [np.sort(np.abs(models.SeasonalTrend(laplace=a).fit(day, y).beta[2:27]))[::-1] for a in (None, 0.05)]
+    assert deltas[1][:4].sum() / deltas[1].sum() > deltas[0][:4].sum() / deltas[0].sum()

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as w
-from tidemark.operators import frames
-from tidemark.operators.models import FOLD_ROUNDS, ROUNDS, SCORER_ROUNDS, BoostedTrees, Garch, SeasonalTrend
+from tidemark.operators import frames, montecarlo
+from tidemark.operators.models import CHANGE_SCALE, FOLD_ROUNDS, ROUNDS, SCORER_ROUNDS, BoostedTrees, Garch, SeasonalTrend
+from tidemark.sources.series import settled
 
 DEFAULT = [w.Feature("lag", 1), w.Feature("lag", 2), w.Feature("mean", 7), w.Feature("std", 7), w.Feature("vol", 7), w.Feature("sma", 14), w.Feature("ema", 14)]
 
@@ -240,16 +241,29 @@ def forecast(df: DataFrame, features=DEFAULT, horizon: int = 90, test_rows: int
     return _with_choice(df, features, chosen).groupBy("series_id").applyInPandas(run, schema)
 
 
-def baseline(df: DataFrame, horizon: int = 90) -> DataFrame:
-    """series_id, date, yhat: the seasonal trend over history and future."""
+def baseline(df: DataFrame, horizon: int = 90, runs: int = 1000, seed: int = 42, change_scale: float = CHANGE_SCALE) -> DataFrame:
+    """series_id, date, yhat, yhat_lower, yhat_upper: the seasonal trend over history and future, with 95 % bounds.
+
+    In the history the bounds hold the noise; in the future also changes of slope, as
+    often and as large as those found, drawn by step and run. The model has no changes in
+    the last fifth of the history, and its bounds know of none there. A small change_scale
+    (of the prior) shrinks the changes found, and so the bounds: trends that turn often
+    need a larger one to be covered as often as the bounds say.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        model = SeasonalTrend().fit(_days(pdf["date"]), np.log(pdf["close"].to_numpy(float)))
+        model = SeasonalTrend(laplace=change_scale).fit(_days(pdf["date"]), np.log(pdf["close"].to_numpy(float)))
         dates = list(pdf["date"]) + list(pd.date_range(pd.Timestamp(pdf["date"].iloc[-1]) + pd.Timedelta(days=1), periods=horizon).date)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "date": dates, "yhat": model.predict(_days(dates))})
-
-    return df.where("close > 0").groupBy("series_id").applyInPandas(run, "series_id string, date date, yhat double")
+        rate, scale = model.change()
+        h = np.arange(len(dates)) - len(pdf) + 1
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "date": dates, "h": h, "yhat": model.predict(_days(dates)), "rate": rate, "scale": scale, "sigma": model.sigma})
+
+    schema = "series_id string, date date, h long, yhat double, rate double, scale double, sigma double"
+    rows = settled(dealt(df.where("close > 0"), ["series_id"]).applyInPandas(run, schema))
+    ahead = montecarlo.trend_bounds(rows.where("h > 0").drop("date"), runs, seed).select("series_id", "h", "mc_low", "mc_high")
+    out, noise = rows.join(ahead, ["series_id", "h"], "left"), 1.959963984540054 * F.col("sigma")
+    return out.select("series_id", "date", "yhat", F.coalesce("mc_low", F.col("yhat") - noise).alias("yhat_lower"), F.coalesce("mc_high", F.col("yhat") + noise).alias("yhat_upper"))
 
 
 def garch(df: DataFrame) -> DataFrame:

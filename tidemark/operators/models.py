@@ -10,14 +10,20 @@ import numpy as np
 DEPTH, RATE, ROW_SHARE, COLUMN_SHARE = 3, 0.01035, 0.802, 0.773
 ROUNDS, SCORER_ROUNDS, FOLD_ROUNDS = 200, 100, 120
 CHANGEPOINTS, CHANGE_RANGE, YEARLY, WEEKLY = 25, 0.8, 10, 3
+CHANGE_SCALE = 0.05
 
 
 @dataclass
 class SeasonalTrend:
-    """Piecewise linear trend with yearly and weekly Fourier terms, ridge-penalised."""
+    """Piecewise linear trend with yearly and weekly Fourier terms, ridge-penalised.
+
+    With laplace, a scale, the changes of slope have a Laplace prior instead (on the
+    logarithm over its largest value, in time from 0 to 1), fitted by reweighting.
+    """
 
     weekly: bool = True
     penalty: float = 1.0
+    laplace: float | None = None
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def _design(self, day: np.ndarray) -> np.ndarray:
@@ -37,8 +43,20 @@ class SeasonalTrend:
         weight = np.full(x.shape[1], self.penalty)
         weight[:2] = 1e-8
         self.beta = np.linalg.solve(x.T @ x + np.diag(weight), x.T @ y)
+        if self.laplace and n:
+            changes, size = slice(2, 2 + n), float(np.abs(y).max()) or 1.0
+            for _ in range(30):
+                spread = max(float(np.square(y - x @ self.beta).mean()), 1e-12 * size**2)
+                weight[changes] = spread / (self.laplace * size * (np.abs(self.beta[changes]) + 1e-6 * size))
+                self.beta = np.linalg.solve(x.T @ x + np.diag(weight), x.T @ y)
+        self.sigma = float(np.sqrt(np.square(y - x @ self.beta).mean()))
         return self
 
+    def change(self) -> tuple[float, float]:
+        """How often the slope changes a day, and the mean size of a change, per day."""
+        deltas = np.abs(self.beta[2 : 2 + len(self.knots)])
+        return (len(deltas) / self.span, float(deltas.mean()) / self.span) if len(deltas) else (0.0, 0.0)
+
     def predict(self, day: np.ndarray) -> np.ndarray:
         return self._design(np.asarray(day, float)) @ self.beta
 

@@ -11,8 +11,13 @@ def uniform(key: Column, part: int) -> Column:
     return (F.conv(F.substring(F.md5(key), 1 + 8 * part, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def normal(key: Column) -> Column:
-    return F.sqrt(-2 * F.ln(uniform(key, 0))) * F.cos(2 * F.pi() * uniform(key, 1))
+def normal(key: Column, part: int = 0) -> Column:
+    return F.sqrt(-2 * F.ln(uniform(key, part))) * F.cos(2 * F.pi() * uniform(key, part + 1))
+
+
+def laplace(u: Column) -> Column:
+    """A draw of a Laplace distribution of scale 1 from a number in (0, 1)."""
+    return F.when(u < 0.5, F.ln(2 * u)).otherwise(-F.ln(2 - 2 * u))
 
 
 def draw_key(seed: int) -> Column:
@@ -30,6 +35,19 @@ def gaussian(path: DataFrame, n: int, seed: int = 42, low: float = 0.025, high:
     return interval(runs(path, n).withColumn("price", price), low, high)
 
 
+def trend_bounds(path: DataFrame, n: int, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """series_id, h, mc_mean, mc_low, mc_high of a trend whose slope goes on changing, plus noise.
+
+    path: series_id, h from 1 on without gaps, yhat, rate (chance of a change a step), scale (mean size
+    of a change) and sigma. A change at step j adds its size times h - j at step h, so
+    two running sums of each run give the trend.
+    """
+    key, by = draw_key(seed), Window.partitionBy("series_id", "run").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = runs(path, n).withColumn("delta", F.when(uniform(key, 0) < F.col("rate"), F.col("scale") * laplace(uniform(key, 1))).otherwise(0.0))
+    moved = F.col("h") * F.sum("delta").over(by) - F.sum(F.col("h") * F.col("delta")).over(by)
+    return interval(drawn.withColumn("price", F.col("yhat") + moved + F.col("sigma") * normal(key, 2)), low, high)
+
+
 def bootstrap(path: DataFrame, residuals: DataFrame, n: int, seed: int = 42, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """The same with residuals (r) of the series drawn with replacement; they are numbered in date order."""
     numbered = residuals.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("date")).cast("long") - 1).alias("i"), "r")
