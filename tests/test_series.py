@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.functions import windows as w
-from tidemark.operators import frames, grouped, models, search, selection
+from tidemark.operators import frames, grouped, models, montecarlo, search, selection
 from tidemark.plans.forecast import RunConfig
 from tidemark.sources import series as src
 
@@ -321,3 +321,19 @@ def test_laplace_prior_keeps_few_changes():
     y = 3 + 0.002 * day + 0.01 * np.maximum(0, day - 200) + np.random.default_rng(1).normal(0, 0.02, 500)
     deltas = [np.sort(np.abs(models.SeasonalTrend(laplace=a).fit(day, y).beta[2:27]))[::-1] for a in (None, 0.05)]
     assert deltas[1][:4].sum() / deltas[1].sum() > deltas[0][:4].sum() / deltas[0].sum()
+
+
+def test_sketched_percentiles_keep_their_rank_error(spark):
+    path = spark.createDataFrame([("s", h, 4.0 + 0.01 * h, 0.05 * h) for h in range(1, 5)], "series_id string, h long, log_price double, sigma double")
+    n, exact = 20_000, {}
+    draws = montecarlo.runs(path, n).withColumn("price", F.exp(F.col("log_price") + montecarlo.normal(montecarlo.draw_key(42)) * F.col("sigma")))
+    for r in draws.groupBy("h").agg(F.array_sort(F.collect_list("price")).alias("p")).collect():
+        exact[r.h] = np.array(r.p)
+    for size in (200, 4096):
+        got = montecarlo.gaussian(path.repartition(3), n, sketch=size).collect()
+        assert len(got) == 4
+        for r in got:
+            for value, p in ((r.mc_low, 0.025), (r.mc_high, 0.975)):
+                assert abs(np.searchsorted(exact[r.h], value) / n - p) <= montecarlo.rank_error(size) + 1 / n
+            assert r.mc_mean == pytest.approx(exact[r.h].mean())
+    assert montecarlo.rank_error(4096) < 0.0008
