@@ -39,7 +39,7 @@ def test_twin(spark, sf, duck, name):
     assert got or name in ("cutoff_grid", "theta_cutoffs")
 
 
-@pytest.mark.parametrize("name", ["baseline_forecast", "garch_fit", "walk_forward", "learning_curve", "cutoff_scores", "hyperparam_test_search", "recursive_forecast", "forecast_intervals", "chosen_features", "pacf_lags"])
+@pytest.mark.parametrize("name", ["baseline_forecast", "garch_fit", "walk_forward", "learning_curve", "cutoff_scores", "hyperparam_test_search", "recursive_forecast", "forecast_intervals", "chosen_features", "pacf_lags", "boosted_frame"])
 def test_models_give_rows_without_nan(spark, sf, name):
     # some need series of more rows than the smallest tables have
     folder = os.path.join(os.path.dirname(sf), "sf0.01") if name in ("walk_forward", "cutoff_scores") else sf

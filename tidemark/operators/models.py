@@ -61,6 +61,14 @@ class SeasonalTrend:
         return self._design(np.asarray(day, float)) @ self.beta
 
 
+def best_cuts(s: np.ndarray, c: np.ndarray, n: np.ndarray, total: np.ndarray, shrink: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each node is split, at which column and after which bin; s, c: sums and counts of its rows (node, column, bin) up to the bin."""
+    m, t = n[:, None, None], total[:, None, None]
+    gain = np.where((c > 0) & (c < m), s**2 / (c + shrink) + (t - s) ** 2 / (m - c + shrink) - t**2 / (m + shrink), -1).reshape(len(n), -1)
+    best = gain.argmax(axis=1)
+    return gain[np.arange(len(n)), best] > 1e-12, best // s.shape[2], best % s.shape[2]
+
+
 @dataclass
 class BoostedTrees:
     """Squared-error trees on binned columns; rows and columns are sampled once a tree, leaves shrunk."""
@@ -106,11 +114,7 @@ class BoostedTrees:
             key = ((at[:, None] * len(cols) + np.arange(len(cols))) * width + x).ravel()
             s = np.bincount(key, np.repeat(y, len(cols)), minlength=np.prod(shape)).reshape(shape).cumsum(2)[:, :, :-1]
             c = np.bincount(key, minlength=np.prod(shape)).reshape(shape).cumsum(2)[:, :, :-1]
-            m, t = n[:, None, None], total[:, None, None]
-            gain = np.where((c > 0) & (c < m), s**2 / (c + shrink) + (t - s) ** 2 / (m - c + shrink) - t**2 / (m + shrink), -1).reshape(len(nodes), -1)
-            best = gain.argmax(axis=1)
-            good = gain[np.arange(len(nodes)), best] > 1e-12
-            j, k = best // (width - 1), best % (width - 1)
+            good, j, k = best_cuts(s, c, n, total, shrink)
             column[nodes[good]], cut[nodes[good]] = cols[j[good]], k[good]
             on = good[at]
             x, y, at = x[on], y[on], at[on]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.functions import windows as w
-from tidemark.operators import frames, grouped, montecarlo, search, selection
+from tidemark.operators import boosting, frames, grouped, montecarlo, search, selection
+from tidemark.operators.models import BoostedTrees
 from tidemark.plans import forecast
 from tidemark.sources import series as src
 
@@ -545,6 +546,15 @@ def hyperparam_search(spark, d):
     return grouped.search_trees(each(spark, d))
 
 
+@query()
+def boosted_frame(spark, d):
+    """One model of the returns over the rows of all series, by summed histograms."""
+    rows = frames.split(w.build(each(spark, d), grouped.DEFAULT), 60)
+    names = [f.name for f in grouped.DEFAULT]
+    model = boosting.fit(rows.where("not is_test"), names, "ret", BoostedTrees(rounds=20, rate=0.1), key=["series_id", "date"])
+    return boosting.score(rows, names, model).select("series_id", "date", "is_test", "ret", "guess")
+
+
 @query()
 def hyperparam_model_search(spark, d):
     """20 trials on four folds of the training rows."""
