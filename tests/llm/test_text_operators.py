@@ -1,18 +1,22 @@
 """The per-text operators against plain Python, with nulls, empty and long texts, repeats and clashing columns."""
 
 import base64
+import glob
 import hashlib
+import os
 import random
 import re
 import struct
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, lm, pii, quality_model, quality_rules, warc
+from tidemark.llm import bpe, decontaminate, lm, pii, quality_model, quality_rules, queries, warc
+from tidemark.llm import text as tx
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.text import words
 
@@ -434,3 +438,30 @@ def test_words_split_like_the_pattern():
     assert got == [re.findall(SPACE, t or "") for t in texts]
 
 
+def test_a_flipped_payload_byte_fails_the_archive_query(spark, sf):
+    out = queries.op6_warc(spark, sf)
+    folder = max(glob.glob(f"{tx.shared_folder(spark)}/warc-*"), key=os.path.getmtime)
+    for file in glob.glob(f"{folder}/part-*"):
+        data, at = open(file, "rb").read(), 0
+        while at < len(data):
+            size = struct.unpack("<I", data[at + 16 : at + 20])[0]
+            raw = bytearray(zlib.decompress(data[at + 24 : at + size - 8], -15))
+            if b"WARC-Type: response" in raw and b"Content-Length: 0\r\n\r\n" not in raw:
+                break
+            at += size
+        if at < len(data):
+            raw[-5] ^= 1  # the last byte before the two line ends of the record
+            packer = zlib.compressobj(1, zlib.DEFLATED, -15)
+            packed = packer.compress(bytes(raw)) + packer.flush()
+            member = data[at : at + 16] + struct.pack("<II", 32 + len(packed), len(raw)) + packed + struct.pack("<II", zlib.crc32(raw), len(raw))
+            with open(file, "wb") as f:
+                f.write(data[:at] + member + data[at + size :])
+            break
+    with pytest.raises(Exception, match="length or digest"):
+        out.collect()
+
+
+def test_archive_folders_by_scheme(tmp_path):
+    assert warc._open(str(tmp_path))[1] == str(tmp_path) and warc._open(f"file://{tmp_path}")[1] == str(tmp_path)
+    fs, root = warc._open("s3a://bucket/folder?region=us-east-1")
+    assert fs.type_name == "s3" and root == "bucket/folder"

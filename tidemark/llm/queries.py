@@ -41,9 +41,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.new_folder(spark)
     warc.write(_table(spark, sf_dir, "pages"), path)
-    # the digests are in the headers: both reads skip all payloads, and each the other's records
-    responses = warc.read(spark, path, payload=False, where="record_type = 'response' and payload_digest is not null")
-    revisits = warc.read(spark, path, payload=False, where="record_type = 'revisit' and refers_to is not null")
+    # responses by their inflated payloads, of which lengths and digests are taken anew; revisits, which have none, by their headers
+    responses = warc.read(spark, path, payload=False, verify=True, where="record_type = 'response'")
+    revisits = warc.read(spark, path, payload=False, where="record_type = 'revisit'")
     return responses.unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

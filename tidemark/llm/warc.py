@@ -38,10 +38,18 @@ DATE = "1970-01-01T00:00:00Z"
 CHUNK = 16 << 10  # compressed bytes that are read at a time while headers are looked for
 
 
+#: Schemes of Spark's file systems that pyarrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _open(path: str):
+    """The file system of a path and the path in it; other schemes than pyarrow's and SCHEMES are an error of its."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+.-]+:", path) else (fs.LocalFileSystem(), path)
+    scheme, colon, rest = path.partition(":")
+    if not colon or not re.fullmatch(r"[a-z][a-z0-9+.-]*", scheme):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool, digest: str) -> bytes:
@@ -200,9 +208,12 @@ class WarcReader(DataSourceReader):
         payload = None
         if (self.payload or self.verify) and row["record_type"] == "response":
             rest = inflate.unconsumed_tail + (f.read(left) if left else b"")
-            body = (bytes(raw[end:]) + inflate.decompress(rest) + inflate.flush())[: row["payload_bytes"]]
-            if self.verify and (len(body) != row["payload_bytes"] or base64.b32encode(hashlib.sha1(body).digest()).decode() != row["payload_digest"]):
-                raise ValueError(f"payload of page {row['page_id']} doesn't match its digest")
+            body = (bytes(raw[end:]) + inflate.decompress(rest) + inflate.flush())[: block + int(headers["content-length"]) - end]
+            if self.verify:
+                found = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()
+                if found != (row["payload_bytes"], row["payload_digest"]):
+                    raise ValueError(f"payload of page {row['page_id']} doesn't match its length or digest")
+                row["payload_bytes"], row["payload_digest"] = found
             payload = body.decode() if self.payload else None
         yield (*[row[c] for c in _COLUMNS], payload)
 
