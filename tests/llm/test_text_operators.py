@@ -367,10 +367,13 @@ def test_decontamination_against_edit_distance(spark, sf):
                 p = random.randrange(len(x))
                 x[p : p + random.randint(0, 1)] = random.choice(["", "a", "b "])
             rows.append((len(rows), "Some words before. " + "".join(x) + " tail"))
+    rows += [(len(rows), "the cat ab sat, cab about"), (len(rows) + 1, "x AB, ab y"), (len(rows) + 2, "cab and abb")]
     df = spark.createDataFrame([*rows, (999, None), (998, ""), (0, rows[0][1])], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {(d, i) for d, t in rows for i, v in items[:6] if edits_in(norm(v), norm(t)) <= int(decontaminate.RATE * len(norm(v)))}
+    want |= {(d, 902) for d, t in rows if "ab" in norm(t).split()}
     got = decontaminate.search(df, bench, block_chars=600)
+    assert len({i for _, i in want}) == 7  # all but the null
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.where("doc_id = 0").count() >= 2
     for r in got.collect():
         item, text = norm(dict(items)[r.item_id]), norm(dict(rows)[r.doc_id])
@@ -388,8 +391,11 @@ def test_decontamination_by_short_items(spark):
     ]
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontaminate.search(df, bench).collect())
-    assert got == [(10, 1, 9, 26, 0), (11, 1, 0, 18, 1), (20, 2, 4, 12, 0), (21, 2, 3, 11, 0), (30, 3, 0, 3, 0), (30, 3, 4, 7, 0), (30, 3, 8, 11, 0), (52, 5, 0, 1, 0), (60, 6, 2, 12, 1)]
-    assert sorted(r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()) == [12, 13, 22, 31, 50, 51, 70, 71]
+    assert got == [(10, 1, 9, 26, 0), (11, 1, 0, 18, 1), (20, 2, 4, 12, 0), (21, 2, 3, 11, 0), (30, 3, 0, 3, 0), (30, 3, 4, 7, 0), (30, 3, 8, 11, 0), (50, 5, 0, 1, 0), (51, 5, 3, 4, 0), (52, 5, 0, 1, 0), (60, 6, 2, 12, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()) == [12, 13, 22, 31, 70, 71]
+    barred = sorted((r.doc_id, r.item_id) for r in decontaminate.search(df, bench, alone=3).where("item_id = 5").collect())
+    assert barred == [(52, 5)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(df, bench, alone=3).collect()) == [12, 13, 22, 31, 50, 51, 70, 71]
 
 
 @pytest.mark.parametrize("rate", [0.25, 0.4])

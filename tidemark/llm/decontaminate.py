@@ -12,8 +12,9 @@ occur unchanged: every band with a piece is aligned.
 Items of fewer than `least` characters must occur as whole words: the place begins
 and ends at an end of the text, at a space or beside a letter of a script that is
 written without spaces. Their budget is the same, so that those of fewer than
-1 / rate characters occur unchanged. One or two characters of a script with spaces
-match only a text that has nothing else. Items without letters and digits match nothing.
+1 / rate characters occur unchanged. With `alone` (0: off), items of fewer characters
+than that, in a script with spaces, match only a text that has nothing else. Items
+without letters and digits match nothing.
 
 The items are the query set: they are sent to all tasks in blocks of at most
 `block_chars` characters, every block against all rows. Null and empty texts match
@@ -39,7 +40,6 @@ from tidemark.llm import text as tx
 RATE = 0.1
 GRAMS = (8, 4)
 LEAST = 20
-ALONE = 3  # items of fewer characters, in a script with spaces, are no evidence inside of other text
 BLOCK_CHARS = 4_000_000
 BLOCK = 3 << 20
 FILTER_BITS = 22
@@ -223,7 +223,7 @@ def verified(items: Items, codes: np.ndarray, offsets: np.ndarray, found: np.nda
     return [(r, i, s, t, e) for (r, i), places in sorted(out.items()) for s, t, e in places]
 
 
-def unchanged(items: Items, codes: np.ndarray, offsets: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+def unchanged(items: Items, codes: np.ndarray, offsets: np.ndarray, found: np.ndarray, alone: int) -> list[tuple[int, int, int, int, int]]:
     """The same for items without edits that must be whole words; a band's first diagonal is where the item would begin."""
     row, item, start = found.T
     m = np.array([len(t) for t in items.texts])
@@ -231,8 +231,8 @@ def unchanged(items: Items, codes: np.ndarray, offsets: np.ndarray, found: np.nd
     row, item, start = row[inside], item[inside], start[inside]
     at, end, own = offsets[row] + start, offsets[row] + start + m[item], np.append(parted(codes), True)
     ok = ((start == 0) | own[at - 1] | own[at]) & ((end == offsets[row + 1]) | own[end - 1] | own[end])
-    alone = np.array([len(t) < ALONE and not parted(t).any() for t in items.texts])
-    ok &= ~alone[item] | (start == 0) & (end == offsets[row + 1])
+    barred = np.array([len(t) < alone and not parted(t).any() for t in items.texts])
+    ok &= ~barred[item] | (start == 0) & (end == offsets[row + 1])
     row, item, start, at = row[ok], item[ok], start[ok], at[ok]
     texts = np.zeros((len(m), m.max()), np.uint32)
     for i, t in enumerate(items.texts):
@@ -247,14 +247,14 @@ def unchanged(items: Items, codes: np.ndarray, offsets: np.ndarray, found: np.nd
     return out
 
 
-def _search(shared):
+def _search(shared, alone: int):
     def run(batches):
         for block in tx.blocks(batches, BLOCK):
             codes, offsets = code_points(normalised(tx.column(block, "text")))
             hits = []
             for items in shared.value:
-                decide = unchanged if items.exact else verified
-                for row, item, s, t, e in decide(items, codes, offsets, bands(items, codes, offsets)):
+                found = bands(items, codes, offsets)
+                for row, item, s, t, e in unchanged(items, codes, offsets, found, alone) if items.exact else verified(items, codes, offsets, found):
                     hits.append((row, int(items.ids[item]), s, t, e))
             rows = np.array([h[0] for h in hits], np.int64)
             rid, doc = np.asarray(tx.column(block, "rid")), tx.column(block, "doc_id")
@@ -263,7 +263,7 @@ def _search(shared):
     return run
 
 
-def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, block_chars: int = BLOCK_CHARS, alone: int = 0) -> DataFrame:
     """(rid, doc_id, item_id, start, end, edits) of every place where an item occurs within its budget; places count in normalised text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
     docs = tx.documents(docs)
@@ -274,12 +274,12 @@ def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int
     for i in range(n):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
         shared = docs.sparkSession.sparkContext.broadcast(index([r.item_id for r in mine], [r.text for r in mine], rate, least=least))
-        parts.append(docs.mapInArrow(_search(shared), _HITS))
+        parts.append(docs.mapInArrow(_search(shared, alone), _HITS))
     return reduce(DataFrame.unionByName, parts)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, alone: int = 0) -> DataFrame:
     """The rows of docs in which no item occurs."""
     key = tx.private(docs, "row_key")
-    hit = search(docs, benchmark, rate).select(F.col("rid").alias(key)).distinct()
+    hit = search(docs, benchmark, rate, alone=alone).select(F.col("rid").alias(key)).distinct()
     return docs.withColumn(key, tx.raw_key()).join(hit, key, "left_anti").drop(key)
