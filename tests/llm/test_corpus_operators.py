@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import decontaminate, graph, ngram_join, pii, quality_rules, substring_dedup, suffix_dedup
+from tidemark.llm import windows as win
 from tidemark.llm.queries import queries
 from tidemark.llm.suffix_sort import suffix_array
 
@@ -275,3 +276,16 @@ def test_pipeline(spark, sf):
 
 def test_names_of_queries():
     assert [n for n in sorted(queries(), key=lambda x: int(re.match(r"op(\d+)_", x)[1]))] and len(queries()) == 10
+
+
+def test_hot_halves_are_told_by_range_and_hash():
+    parts = 16
+    bounds = win.range_bounds(parts)
+    low = 64 - ngram_join.RANGE_BITS
+    keys = np.array([(int(bounds[p]) << 32) | x << low for p, x in ((3, 7), (9, 7), (3, 8))], np.uint64)
+    hot = np.array([parts, (3 << 32) | 7], np.uint64).tobytes()
+    # the second key has the hash bits of the first, in another range
+    assert win.is_hot(keys, np.zeros(3, np.int64), [hot]).tolist() == [True, False, False]
+    assert win.is_hot(keys, np.array([0, 1, 1]), [hot, None]).tolist() == [True, False, False]
+    assert win.is_hot(keys, np.array([0, 1, 1]), [None, hot]).tolist() == [False, False, False]
+    assert not win.is_hot(keys, np.zeros(3, np.int64), [None]).any()

@@ -62,7 +62,7 @@ def _hit_sides(block: pa.Table, shape: win.Shape):
     """Words, offsets and the sides of the block whose halves occur again, but not too often."""
     flat, offsets, h, (a, lo, hi, rows, keys) = _found(tx.column(block, "text"), shape)
     hit = win.flagged(keys, rows, tx.column(block, "flags").to_pylist())
-    hit[hit] = ~win.flagged(keys[hit], rows[hit], tx.column(block, "hot").to_pylist())
+    hit[hit] = ~win.is_hot(keys[hit], rows[hit], tx.column(block, "hot").to_pylist())
     a, lo, hi, rows, keys = (x[hit] for x in (a, lo, hi, rows, keys))
     size = hi - lo + shape.length
     return flat, offsets, a, lo, size, rows, keys, win.kind_of(win.folded(h, lo, size), a - lo)
@@ -88,7 +88,7 @@ def _hot_windows(shape: win.Shape):
     def run(batches):
         for block in tx.blocks(win.inflated(batches, _NAMES), BLOCK):
             _, offsets, h, (_, lo, hi, rows, keys) = _found(tx.column(block, "text"), shape)
-            hot = win.flagged(keys, rows, tx.column(block, "hot").to_pylist())
+            hot = win.is_hot(keys, rows, tx.column(block, "hot").to_pylist())
             lo, n, rows = lo[hot], (hi - lo + 1)[hot], rows[hot]
             p = np.arange(int(n.sum())) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) if len(n) else np.zeros(0, np.int64)
             row, size = np.repeat(rows, n), np.full(len(p), shape.length)

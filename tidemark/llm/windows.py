@@ -126,9 +126,10 @@ def _pack(find, parts: int, once_a_row: bool, max_bytes: int):
 
 
 def _again(most: int):
-    """The keys of a range that occur twice or more, and those of them that occur more than `most` times."""
+    """The keys of a range that occur twice or more, and those of them, with the range's number, that occur more than `most` times."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.uint64(int(pdf["part"].iloc[0]) << 32)
         hs = [from_planes(x, np.uint32) for x in pdf["h"]]
         u, n = np.unique(np.concatenate(hs), return_counts=True)
         twice, times = u[n > 1], n[n > 1]
@@ -138,26 +139,32 @@ def _again(most: int):
             at = np.minimum(np.searchsorted(twice, x), max(0, len(twice) - 1))
             hit = np.flatnonzero(twice[at] == x) if len(twice) else np.zeros(0, np.int64)
             hot = hit[times[at[hit]] > most]
-            for k, v in zip(out, (d[hit], x[hit], d[hot], x[hot])):
+            for k, v in zip(out, (d[hit], x[hit], d[hot], x[hot] | part)):
                 out[k].append(v.tobytes())
         return pd.DataFrame({"block": pdf["block"], "rids": pdf["rids"], **out})
 
     return run
 
 
-def _listed(rows, keys) -> dict[int, bytes]:
+def _listed(rows, keys, kind: type) -> dict[int, bytes]:
     rows = np.concatenate([np.frombuffer(x, np.uint16) for x in rows])
-    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in keys])
+    keys = np.concatenate([np.frombuffer(x, kind) for x in keys])
     order = np.argsort(rows, kind="stable")
     rows, keys = rows[order], keys[order]
     own = np.unique(rows)
     return dict(zip(own.tolist(), [x.tobytes() for x in np.split(keys, np.searchsorted(rows, own)[1:])])) if len(own) else {}
 
 
-def _by_row(pdf: pd.DataFrame) -> pd.DataFrame:
-    rids = np.frombuffer(pdf.loc[pdf["rids"].notna(), "rids"].iloc[0], np.int64)
-    found, hot = _listed(pdf["rows"], pdf["keys"]), _listed(pdf["hot_rows"], pdf["hot_keys"])
-    return pd.DataFrame({"rid": rids[list(found)], "flags": list(found.values()), "hot": [hot.get(i) for i in found]})
+def _by_row(parts: int):
+    """Lists of a block's rows; a list of hot halves begins with the number of ranges, by which `is_hot` numbers them again."""
+    head = np.array([parts], np.uint64).tobytes()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rids = np.frombuffer(pdf.loc[pdf["rids"].notna(), "rids"].iloc[0], np.int64)
+        found, hot = _listed(pdf["rows"], pdf["keys"], np.uint32), _listed(pdf["hot_rows"], pdf["hot_keys"], np.uint64)
+        return pd.DataFrame({"rid": rids[list(found)], "flags": list(found.values()), "hot": [head + hot[i] if i in hot else None for i in found]})
+
+    return run
 
 
 def flags(docs: DataFrame, find, once_a_row: bool, max_bytes: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +172,7 @@ def flags(docs: DataFrame, find, once_a_row: bool, max_bytes: int, most: int) ->
     parts = min(tx.shuffle_width(docs.sparkSession), 1 << 16)
     packed = docs.select("rid", "text").mapInArrow(_pack(find, parts, once_a_row, max_bytes), "block long, part int, h binary, d binary, rids binary")
     counted = packed.groupBy("part").applyInPandas(_again(most), "block long, rids binary, rows binary, keys binary, hot_rows binary, hot_keys binary")
-    found = tx.checkpoint(counted.groupBy("block").applyInPandas(_by_row, "rid long, flags binary, hot binary"))
+    found = tx.checkpoint(counted.groupBy("block").applyInPandas(_by_row(parts), "rid long, flags binary, hot binary"))
     # a half's key decides alone, so rows that repeat have equal flags
     once = lambda rows: rows.groupBy("rid").agg(F.first("flags").alias("flags"), F.first("hot").alias("hot"))
     return once(found), once(found.where("hot is not null"))
@@ -211,6 +218,20 @@ def flagged(keys: np.ndarray, rows: np.ndarray, flag_lists: list[bytes | None])
     return own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
 
 
+def is_hot(keys: np.ndarray, rows: np.ndarray, hot_lists: list[bytes | None]) -> np.ndarray:
+    """Which sides have a key among their row's hot ones, told by range and hash as when they were counted, so that all rows agree."""
+    heads = [x[:8] for x in hot_lists if x]
+    if not heads:
+        return np.zeros(len(keys), bool)
+    parts = int(np.frombuffer(heads[0], np.uint64)[0])
+    sizes = [max(0, len(x or b"") // 8 - 1) for x in hot_lists]
+    own = np.frombuffer(b"".join(x[8:] for x in hot_lists if x), np.uint64)
+    own = np.sort(own | (np.repeat(np.arange(len(hot_lists)), sizes).astype(np.uint64) << np.uint64(48)))
+    part = np.searchsorted(range_bounds(parts), keys >> np.uint64(32), side="right") - 1
+    x = low_bits(keys).astype(np.uint64) | (part.astype(np.uint64) << np.uint64(32)) | (rows.astype(np.uint64) << np.uint64(48))
+    return own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
+
+
 def folded(values: np.ndarray, lo: np.ndarray, size: np.ndarray, step: int = 1) -> np.ndarray:
     """Hash of values[lo], values[lo + step], ... (size of them) for each run; equal runs have equal hashes."""
     h = size.astype(np.uint64)
