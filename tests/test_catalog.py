@@ -39,10 +39,10 @@ def test_twin(spark, sf, duck, name):
     assert got or name in ("cutoff_grid", "theta_cutoffs")
 
 
-@pytest.mark.parametrize("name", ["baseline_forecast", "garch_fit", "walk_forward", "learning_curve", "cutoff_scores", "hyperparam_test_search", "recursive_forecast", "forecast_intervals", "chosen_features", "pacf_lags", "boosted_frame"])
+@pytest.mark.parametrize("name", ["baseline_forecast", "garch_fit", "walk_forward", "learning_curve", "cutoff_scores", "hyperparam_test_search", "recursive_forecast", "forecast_intervals", "chosen_features", "pacf_lags", "boosted_frame", "fold_table"])
 def test_models_give_rows_without_nan(spark, sf, name):
     # some need series of more rows than the smallest tables have
-    folder = os.path.join(os.path.dirname(sf), "sf0.01") if name in ("walk_forward", "cutoff_scores") else sf
+    folder = os.path.join(os.path.dirname(sf), "sf0.01") if name in ("walk_forward", "cutoff_scores", "fold_table") else sf
     rows = catalog.queries()[name](spark, folder).collect()
     assert rows
     assert not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r)

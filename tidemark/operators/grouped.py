@@ -99,6 +99,19 @@ def walk_forward(df: DataFrame, features=DEFAULT, window: int = 90, n_folds: int
     return dealt(rows, ["series_id", "fold"]).applyInPandas(dated, "series_id string, fold int, acc double, mae double, mse double, days long, train_end date, test_start date, test_end date")
 
 
+def evaluated_folds(pdf: pd.DataFrame, names: list[str], window: int, n_folds: int, least: int, rounds: int):
+    """(fold, its one row of scores) for the expanding folds of one series of complete rows, as frames.folds cuts them."""
+    run, n = _evaluated(["series_id", "fold"], names, rounds, True, 0), len(pdf)
+    if n - window <= least:
+        return
+    pdf = pdf.sort_values("date").reset_index(drop=True)
+    ends = sorted({least + i * (n - window - least) // max(1, n_folds - 1) for i in range(n_folds)})
+    for fold, end in enumerate(ends):
+        part = pdf.iloc[: end + window].assign(fold=fold)
+        for _, r in run(part.assign(is_test=np.arange(len(part)) >= end)).iterrows():
+            yield fold, r
+
+
 def learning_curve(df: DataFrame, features=DEFAULT, fractions=(0.2, 0.4, 0.6, 0.8, 1.0), test_rows: int = 90, rounds: int = ROUNDS) -> DataFrame:
     """The same for models that learn from the first part of the training rows."""
     rows = frames.split(w.build(df, features), test_rows)

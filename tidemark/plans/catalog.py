@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import stats
+from tidemark.functions import stats, tables
 from tidemark.functions import windows as w
 from tidemark.operators import boosting, frames, grouped, montecarlo, search, selection
-from tidemark.operators.models import BoostedTrees
+from tidemark.operators.models import FOLD_ROUNDS, BoostedTrees
 from tidemark.plans import forecast
 from tidemark.sources import series as src
 
@@ -375,11 +375,21 @@ def binomial_tail(spark, d):
     return h.select("series_id", "hits", "n", _r(stats.binomial_at_least(F.col("hits"), F.col("n")), 8, "p_value"))
 
 
-@query(f"with {_EACH}, {_RET}, x as (select series_id, close / lag(close, 29) {_W} - 1 as trend, stddev_samp(ret) {_frame(30)} as vol, row_number() over (partition by series_id order by date desc) as k from r) select series_id, round(trend, 6) as trend, round(vol, 6) as vol, case when trend > 0.10 and vol < 0.05 then 'BULL_STABLE' when trend > 0.05 then 'BULL_VOLATILE' when trend < -0.10 then 'BEAR' when abs(trend) < 0.05 then 'CONSOLIDATION' else 'NEUTRAL' end as regime from x where k = 1")
+_REGIME = f"with {_EACH}, {_RET}, x as (select series_id, close / lag(close, 29) {_W} - 1 as trend, stddev_samp(ret) {_frame(30)} as vol, row_number() over (partition by series_id order by date desc) as k from r) select series_id, round(trend, 6) as trend, round(vol, 6) as vol, case when trend > 0.10 and vol < 0.05 then 'BULL_STABLE' when trend > 0.05 then 'BULL_VOLATILE' when trend < -0.10 then 'BEAR' when abs(trend) < 0.05 then 'CONSOLIDATION' else 'NEUTRAL' end as regime from x where k = 1"
+
+
+@query(_REGIME)
 def regime_case(spark, d):
     return stats.regime(each(spark, d)).select("series_id", _r("trend", 6, "trend"), _r("vol", 6, "vol"), "regime")
 
 
+@query(_REGIME)
+def regime_table(spark, d):
+    """The same by a table function that SQL calls."""
+    tables.register(spark)
+    return spark.sql("select series_id, round(trend, 6) as trend, round(vol, 6) as vol, regime from series_regime(table(select * from {p}) partition by series_id order by (date), 30)", p=each(spark, d))
+
+
 _ACF = f"x as (select series_id, date, volume - avg(volume) over (partition by series_id) as d from p), l as (select series_id, d, " + ", ".join(f"lag(d, {k}) {_W} as l{k}" for k in range(1, 4)) + " from x), a as (select series_id, count(*) as n, sum(d * d) / count(*) as c0, " + ", ".join(f"sum(d * l{k}) / (count(*) - {k}) as c{k}" for k in range(1, 4)) + " from l group by 1), q as (select series_id, n, c1 / c0 as r1, c2 / c0 as r2, c3 / c0 as r3 from a)"
 
 
@@ -536,6 +546,15 @@ def walk_forward(spark, d):
     return f.groupBy("series_id").agg(F.count("*").alias("folds"), F.avg("acc").alias("mean_acc"), F.stddev_pop("acc").alias("std_acc"))
 
 
+@query()
+def fold_table(spark, d):
+    """The folds of walk_forward by a table function that SQL calls."""
+    tables.register(spark)
+    names = [f.name for f in grouped.DEFAULT]
+    listed = ", ".join(f"'{n}'" for n in names)
+    return spark.sql(f"select * from fold_scores(table(select * from {{rows}}) partition by series_id order by (date), array({listed}), 90, 4, 730, {FOLD_ROUNDS})", rows=w.build(each(spark, d), grouped.DEFAULT))
+
+
 @query()
 def learning_curve(spark, d):
     return grouped.learning_curve(each(spark, d), test_rows=60)
