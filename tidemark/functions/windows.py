@@ -93,9 +93,10 @@ def exponential(df: DataFrame, spans: list[int], x: str = "close", block_rows: i
     rows = block_rows or _block_rows(spans)
     stamp = F.col("date").cast("timestamp").cast("double") / (86400 if dict(df.dtypes)["date"] == "date" else 3600)
     kept = df.columns
-    framed = df.withColumn("_b", F.floor(stamp / rows))
-    framed = framed.withColumn("_s", F.floor((F.row_number().over(Window.partitionBy("series_id", "_b").orderBy("date")) - 1) / rows))
-    so_far = Window.partitionBy("series_id", "_b", "_s").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    # one key of both, so that a null series or date joins too
+    framed = df.withColumn("_b", F.floor(stamp / rows)).withColumn("_k", F.struct("series_id", "_b"))
+    framed = framed.withColumn("_s", F.floor((F.row_number().over(Window.partitionBy("_k").orderBy("date")) - 1) / rows))
+    so_far = Window.partitionBy("_k", "_s").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     framed = framed.withColumn("_n", F.count(x).over(so_far))
     value = F.col(x).cast("double")
     own = []
@@ -105,7 +106,7 @@ def exponential(df: DataFrame, spans: list[int], x: str = "close", block_rows: i
         # what the block's rows add, over the weight of what came in
         own.append(F.coalesce(F.sum(rate * value / F.pow(F.lit(keep), F.col("_n"))).over(so_far), F.lit(0.0)) if keep else F.last(value, ignorenulls=True).over(so_far))
     framed = framed.withColumns({f"_o{s}": o for s, o in zip(spans, own)})
-    ends = framed.groupBy("series_id", "_b", "_s").agg(F.max("_n").alias("n"), F.min_by(value, F.when(F.col(x).isNotNull(), F.col("date"))).alias("first"), F.max_by(F.array(*[f"_o{s}" for s in spans]), "date").alias("o"))
+    ends = framed.groupBy("_k", "_s").agg(F.max("_n").alias("n"), F.min_by(value, F.when(F.col(x).isNotNull(), F.col("date"))).alias("first"), F.max_by(F.array(*[f"_o{s}" for s in spans]), "date").alias("o"))
 
     def after(y, n, o, span):
         keep = 1 - 2 / (span + 1)
@@ -117,10 +118,10 @@ def exponential(df: DataFrame, spans: list[int], x: str = "close", block_rows: i
         return F.struct(out.alias("y"), F.concat(acc["done"], F.array(F.struct(block["_b"].alias("b"), block["_s"].alias("s"), F.array(*y).alias("y"), acc["y"][0].isNull().alias("new")))).alias("done"))
 
     start = F.struct(F.array(*[F.lit(None).cast("double")] * len(spans)).alias("y"), F.array().cast("array<struct<b: bigint, s: bigint, y: array<double>, new: boolean>>").alias("done"))
-    chained = ends.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("_b", "_s", "n", "first", "o"))).alias("blocks"))
+    chained = ends.select("_k.*", "_s", "n", "first", "o").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("_b", "_s", "n", "first", "o"))).alias("blocks"))
     incoming = chained.select("series_id", F.explode(F.aggregate("blocks", start, step, lambda acc: acc["done"])).alias("i"))
-    incoming = incoming.groupBy("series_id", F.col("i.b").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("i.s", "i.y", "i.new"))).alias("_in"))
-    joined = framed.join(incoming, ["series_id", "_b"])
+    incoming = incoming.groupBy(F.struct("series_id", F.col("i.b").alias("_b")).alias("_k")).agg(F.array_sort(F.collect_list(F.struct("i.s", "i.y", "i.new"))).alias("_in"))
+    joined = framed.join(incoming, "_k")
     came = F.element_at("_in", F.col("_s").cast("int") + 1)
     # there is no average before a series' first value
     there = (F.col("_n") > 0) | ~came["new"]

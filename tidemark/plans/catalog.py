@@ -13,6 +13,8 @@ from tidemark.operators import boosting, frames, grouped, montecarlo, search, se
 from tidemark.operators.models import FOLD_ROUNDS, BoostedTrees
 from tidemark.plans import forecast
 from tidemark.sources import series as src
+from tidemark.sources import tickers
+from tidemark.streaming import running
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -96,6 +98,14 @@ def filter_cutoff(spark, d):
     return each(spark, d).where("date >= date '1997-01-01'")
 
 
+@query(f"with {_EACH} select * from p where series_id in ('1-URGENT', '5-LOW') and date >= date '1995-06-15' and date < date '1997-03-01'")
+def ticker_files(spark, d):
+    """Two tickers over some years, out of a folder of price files by ticker and year."""
+    path = tickers.new_folder(spark)
+    tickers.write(each(spark, d), path)
+    return tickers.read(spark, path, "series_id in ('1-URGENT', '5-LOW') and date >= date '1995-06-15' and date < date '1997-03-01'")
+
+
 @query(f"with {_EACH}, {_RET} select series_id, date, round(ret, 8) as ret, round(ln(close), 8) as log_close from r where ret is not null")
 def dropna_complete(spark, d):
     return w.with_returns(each(spark, d)).na.drop("any").select("series_id", "date", _r("ret", 8, "ret"), _r("log_close", 8, "log_close"))
@@ -518,6 +528,15 @@ def baseline_forecast(spark, d):
     return grouped.baseline(each(spark, d))
 
 
+_SO_FAR = "over (partition by series_id order by date rows unbounded preceding)"
+
+
+@query(f"with e as (select event_type as series_id, cast(ts as date) as date, arg_max(value, event_id) as close from events group by 1, 2), p as (select * from e where date + interval 2 day <= (select max(ts) from events)), {_RET} select series_id, date, round(close, 6) as close, round(ret, 6) as ret, count(ret) {_SO_FAR} as n_returns, round(case when count(ret) {_SO_FAR} > 1 then stddev_samp(ret) {_SO_FAR} end, 5) as volatility from r")
+def stream_running(spark, d):
+    """Running figures of the events as a stream, on the days that its watermark has finished."""
+    return running.replay(spark, d, [14]).select("series_id", "date", _r("close", 6, "close"), _r("ret", 6, "ret"), "n_returns", _r("volatility", 5, "volatility"))
+
+
 @query()
 def garch_fit(spark, d):
     return grouped.garch(each(spark, d))
